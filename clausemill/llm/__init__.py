@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "p6_tokens",
+    "p7_leaks",
 )
 
 
