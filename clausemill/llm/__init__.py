@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "p6_tokens",
     "p7_leaks",
+    "p8_truncation",
 )
 
 
