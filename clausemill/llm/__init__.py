@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "p5_neighbours",
     "p6_tokens",
     "p7_leaks",
     "p8_truncation",
