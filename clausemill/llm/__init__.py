@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "p2_near_records",
     "p5_neighbours",
     "p6_tokens",
     "p7_leaks",
