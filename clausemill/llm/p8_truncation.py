@@ -96,13 +96,14 @@ def flag(docs: DataFrame, text: str = "text", source: str = "source") -> DataFra
     replaced. One pass reads the lengths (aggregated before the shuffle); the limits,
     at most some per source, are joined back on source and length.
     """
-    e = docs.withColumn("ending", ending(F.col(text)))
+    # The lengths are taken before the join, so that a plan that drops the text needn't carry it.
+    e = docs.withColumn("ending", ending(F.col(text))).withColumn("__n", F.length(text)).withColumn("__o", F.octet_length(text))
     sizes = docs.select(F.col(source).alias("__s"), F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.length(text).alias("l")), F.struct(F.lit("bytes").alias("m"), F.octet_length(text).alias("l")))).alias("x"))
     found = limits(sizes.select("__s", F.col("x.m").alias("__m"), F.col("x.l").alias("__l")), ["__s", "__m"], "__l")
     at = found.groupBy("__s").agg(F.collect_set(F.when(F.col("__m") == "chars", F.col("__l"))).alias("__c"), F.collect_set(F.when(F.col("__m") == "bytes", F.col("__l"))).alias("__b"))
     j = e.join(at, e[source].eqNullSafe(at["__s"]), "left")
-    here = F.coalesce(F.array_contains("__c", F.length(text)) | F.array_contains("__b", F.octet_length(text)), F.lit(False))
-    return j.withColumn("cut", F.coalesce((F.col("ending") == "open") | ((F.col("ending") == "either") & here), F.lit(False))).drop("__s", "__c", "__b")
+    here = F.coalesce(F.array_contains("__c", F.col("__n")) | F.array_contains("__b", F.col("__o")), F.lit(False))
+    return j.withColumn("cut", F.coalesce((F.col("ending") == "open") | ((F.col("ending") == "either") & here), F.lit(False))).drop("__s", "__c", "__b", "__n", "__o")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
