@@ -73,7 +73,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embedding", k: int = 5, floor: float = 0.9, dim: int = 64, margin: float = 0.08, per_cell: int = 256, levels: int = 3, words: int = 64, beam: int = 4, chunk: int = 8192) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embedding", k: int = 5, floor: float = 0.9, dim: int = 64, margin: float = 0.055, per_cell: int = 2048, levels: int = 3, words: int = 64, beam: int = 4, chunk: int = 8192, most: int = 1_000_000) -> DataFrame:
     """Directed links (src, dst, cosine): of each vector the ``k`` most similar others with cosine >= ``floor``.
 
     Null ids, null vectors, vectors of another dimension, with a null or non-finite
@@ -83,6 +83,8 @@ def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embeddin
     The codebooks are fitted on a sample of at most 32 rows a cell (4096 cells at most);
     all rows are indexed and all are queries. A cell that the sample shows to be larger
     than ``chunk`` rows is split into chunks, so that no task holds an unbounded cell.
+    Groups of equal vectors are broadcast up to ``most`` (24 MB), joined beyond. There are
+    ``n / per_cell`` cells, at least 256.
     """
     spark = df.sparkSession
     v = F.col(vector)
@@ -91,15 +93,18 @@ def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embeddin
         .where(F.col("id").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e30)) & F.exists("v", lambda x: x != 0))
         .withColumn("h", F.xxhash64("v"))
     )
-    # One row per distinct vector; 'first' carries the vector through the map-side aggregation.
-    groups = materialise(usable.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("v").alias("v")))
+    # Groups of equal vectors, from hashes and ids alone: the vectors aren't shuffled for it.
+    groups = materialise(usable.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")))
     n = groups.count()
-    cells = 1
+    several = groups.where(F.col("last") != F.col("id")).select("h", F.col("id").alias("rep"))
+    few = several.count() <= most
+    single = usable.join(F.broadcast(several) if few else several, "h", "left").where("rep is null or rep = id").select("id", "v")
+    cells = 256
     while cells < min(4096, n // per_cell):
         cells *= 2
-    wanted = 32 * max(cells, 256)
+    wanted = 32 * max(cells, 512)
     share = min(1.0, 1.2 * wanted / max(n, 1))
-    sample = groups.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(wanted).toArrow()
+    sample = usable.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(wanted).toArrow()
     x = np.asarray(sample.column("v").combine_chunks().flatten(), dtype=np.float32).reshape(-1, dim) if n else np.zeros((0, dim), np.float32)
     schema = "src long, dst long, cosine double"
     if not len(x):
@@ -192,17 +197,16 @@ def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embeddin
             e = e[np.arange(len(e)) - np.repeat(begin, np.diff(np.r_[begin, len(e)])) < k]
         return pa.table({"src": pa.array(e["s"]), "dst": pa.array(e["d"]), "cosine": pa.array(e["c"])})
 
-    placed = groups.select("id", "v").mapInArrow(place, "cell int, slot int, id long, v binary, code binary, least float")
+    placed = single.mapInArrow(place, "cell int, slot int, id long, v binary, code binary, least float")
     links = placed.groupBy("cell", "slot").applyInArrow(search, schema)
     best = W.partitionBy("src").orderBy(F.desc("cosine"), "dst")
     links = links.repartition("src").groupBy("src", "dst").agg(F.max("cosine").alias("cosine"))
     links = links.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    return _with_copies(links, usable, groups, k)
+    return _with_copies(links, usable, several, k)
 
 
-def _with_copies(links: DataFrame, usable: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+def _with_copies(links: DataFrame, usable: DataFrame, several: DataFrame, k: int) -> DataFrame:
     """Links of all ids, from the links of the least id of each group of equal vectors."""
-    several = groups.where(F.col("last") != F.col("id")).select("h", F.col("id").alias("rep"))
     members = usable.select("h", "id").join(several, "h").select("rep", "id").dropDuplicates()
     # The first k+1 copies serve as neighbours; the window's group limit cuts hot groups before the shuffle.
     first = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("copy"))
