@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "p2_near_records",
     "p3_canonical",
+    "p4_history",
     "p5_neighbours",
     "p6_tokens",
     "p7_leaks",
