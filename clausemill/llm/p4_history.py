@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.llm.p3_canonical import distance
-from clausemill.llm.shingles import shingle_sets, slices
+from clausemill.llm.shingles import shingle_sets
 from clausemill.session import materialise, read, shared_dir
 
 #: Month names, and marks of copies and versions at a file name's ends.
@@ -101,36 +101,51 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def overlapping(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) with name parts and texts whose names and texts are alike enough."""
+    """(a, b) of the pairs (a, b, ta, tb) whose texts overlap by ``least`` at least."""
 
     def run(batches):
         for batch in batches:
-            col = {n: batch.column(n).to_pylist() for n in ("la", "lb", "ma", "mb", "ta", "tb")}
-            near = [i for i in range(batch.num_rows) if not (col["ma"][i] and col["mb"][i] and col["ma"][i] != col["mb"][i]) and mistyped(col["la"][i], col["lb"][i])]
-            texts = [t for i in near for t in (col["ta"][i] or "", col["tb"][i] or "")]
+            texts = [t for pair in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True) for t in pair]
             ok = []
-            for x, y in slices(texts, 1 << 20, 8192):
-                x, y = x + x % 2, y + y % 2  # both texts of a pair together
-                part = texts[x:y]
+            for x in range(0, len(texts), 512):  # both texts of a pair together
+                part = [t or "" for t in texts[x : x + 512]]
                 s, text, _ = shingle_sets(part, 3)
                 ends = np.searchsorted(text, np.arange(len(part) + 1))
                 for k in range(0, len(part), 2):
                     p, q = s[ends[k] : ends[k + 1]], s[ends[k + 1] : ends[k + 2]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if both and both >= least * (len(p) + len(q) - both):
-                        ok.append(near[(x + k) // 2])
+                        ok.append((x + k) // 2)
             take = pa.array(ok, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
-    return pairs.select("a", "b", "la", "lb", "ma", "mb", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_names(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, la, lb, ma, mb) whose names differ by mistyped letters at most."""
+
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(n).to_pylist() for n in ("la", "lb", "ma", "mb")}
+            ok = [i for i in range(batch.num_rows) if not (col["ma"][i] and col["mb"][i] and col["ma"][i] != col["mb"][i]) and mistyped(col["la"][i], col["lb"][i])]
+            take = pa.array(ok, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
+
+    return pairs.select("a", "b", "la", "lb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 class History:
-    """The accepted documents, as an append-only table in the shared folder."""
+    """The accepted documents: an append-only table of names, hashes and pivot distances in the shared folder.
 
-    def __init__(self, spark: SparkSession, marks: list[str], least: float = 0.5):
-        self.spark, self.marks, self.least = spark, marks, least
-        self.parts: list[DataFrame] = []
+    Rows are appended batch by batch; what a batch's check refused is kept beside them,
+    so that history is the rows of earlier batches without the refused. Texts lie in a
+    table of their own and are read for pairs of near names only.
+    """
+
+    def __init__(self, spark: SparkSession, at: str, marks: list[str], least: float = 0.5, most: int = 200_000):
+        self.spark, self.at, self.marks, self.least, self.most = spark, at, marks, least, most
+        self.checked = 0
 
     def distances(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the distances of their letters to the pivots, and the range of the first."""
@@ -138,28 +153,34 @@ class History:
             rows = rows.withColumn(f"d{i}", F.levenshtein("letters", F.lit(p)))
         return rows.withColumn("range", (F.col("d0") / (RADIUS + 1)).cast("int"))
 
-    def accepted(self) -> DataFrame | None:
-        out = None
-        for p in self.parts:
-            out = p if out is None else out.unionByName(p)
-        return out
-
-    def check(self, batch: DataFrame) -> DataFrame:
-        """(a, b): accepted document and the document of ``batch`` that repeats it. batch: as from distances(), with text."""
-        old = self.accepted()
-        if old is None:
-            return self.spark.createDataFrame([], "a long, b long")
-        h = old.where("hash is not null").select(F.col("doc_id").alias("a"), "hash")
-        same = batch.where("hash is not null").select(F.col("doc_id").alias("b"), "hash").join(h, "hash").select("a", "b")
-        named = old.where("text is not null").select(F.col("doc_id").alias("a"), "source", "numbers", F.explode(F.array(*(F.col("range") + i for i in (-1, 0, 1)))).alias("range"), F.col("letters").alias("la"), F.col("month").alias("ma"), F.col("text").alias("ta"), *(F.col(f"d{i}").alias(f"o{i}") for i in range(len(self.marks))))
-        new = batch.where("text is not null").select(F.col("doc_id").alias("b"), "source", "numbers", "range", F.col("letters").alias("lb"), F.col("month").alias("mb"), F.col("text").alias("tb"), *(f"d{i}" for i in range(len(self.marks))))
+    def accepted(self, rows: DataFrame, before: int) -> DataFrame:
+        old = rows.where(F.col("batch_no") < before)
+        if not self.checked:
+            return old
+        return old.join(self.links().select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+
+    def links(self) -> DataFrame:
+        """(a, b): accepted document and refused document, of all batches so far."""
+        return self.spark.read.schema("a long, b long").option("recursiveFileLookup", "true").parquet(f"{self.at}/pairs")
+
+    def check(self, rows: DataFrame, number: int, texts: DataFrame) -> None:
+        """Hold the batch ``number`` of ``rows`` against the accepted rows before it, and append what it finds."""
+        n = len(self.marks)
+        old, batch = self.accepted(rows, number), rows.where(F.col("batch_no") == number)
+        named = old.where("source is not null and letters is not null").select(F.col("doc_id").alias("a"), "source", "numbers", F.explode(F.array(*(F.col("range") + i for i in (-1, 0, 1)))).alias("range"), F.col("letters").alias("la"), F.col("month").alias("ma"), *(F.col(f"d{i}").alias(f"o{i}") for i in range(n)))
+        new = batch.where("source is not null").select(F.col("doc_id").alias("b"), "source", "numbers", "range", F.col("letters").alias("lb"), F.col("month").alias("mb"), *(f"d{i}" for i in range(n)))
         near = new.join(named, ["source", "numbers", "range"])
-        for i in range(len(self.marks)):
+        for i in range(n):
             near = near.where(F.abs(F.col(f"d{i}") - F.col(f"o{i}")) <= RADIUS)
-        return same.unionByName(overlapping(near, self.least)).where("a != b").dropDuplicates()
-
-    def append(self, rows: DataFrame) -> None:
-        self.parts.append(rows)
+        near = materialise(near_names(near.where("a != b")))
+        side = F.broadcast(near) if near.count() <= self.most else near
+        ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+        tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        half = ta.join(side, "a")
+        both = tb.join(F.broadcast(half) if side is not near else half, "b")
+        same = batch.where("hash is not null").select(F.col("doc_id").alias("b"), "hash").join(old.where("hash is not null").select(F.col("doc_id").alias("a"), "hash"), "hash").select("a", "b")
+        same.where("a != b").unionByName(overlapping(both, self.least)).dropDuplicates().write.parquet(f"{self.at}/pairs/{number}")
+        self.checked += 1
 
 
 def repeats(docs: DataFrame, least: float = 0.5, sample: int = 256, most: int = 1_000_000) -> DataFrame:
@@ -169,38 +190,23 @@ def repeats(docs: DataFrame, least: float = 0.5, sample: int = 256, most: int =
     against one another; refused documents don't serve as history. A null id or batch is
     left out; a null or unreadable hash equals none; null and empty texts overlap none;
     a null source is no source; repeated rows count once. Other columns are ignored. Texts
-    travel only for documents whose source and numbers in the name occur twice; the keys
+    are kept only of documents whose source and numbers in the name occur twice; the keys
     are broadcast up to ``most``, joined beyond.
     """
     spark = docs.sparkSession
+    at = f"{shared_dir(spark)}/history-{np.random.default_rng().integers(1 << 60):x}"
     rows = materialise(describe(docs))
     first = rows.select("letters").where("letters != ''").orderBy(F.xxhash64("letters"), "letters").limit(sample)
-    history = History(spark, pivots([r.letters for r in first.collect()]), least)
-    keys = materialise(rows.where("source is not null").groupBy("source", "numbers").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").drop("n"))
-    some = rows.join(F.broadcast(keys) if keys.count() <= most else keys, ["source", "numbers"], "left_semi").select("doc_id", F.lit(True).alias("named"))
-    some = materialise(some)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some) if some.count() <= most else some, "doc_id").select("doc_id", "text")
-    table = history.distances(rows.dropDuplicates(["doc_id"]).join(texts.dropDuplicates(["doc_id"]), "doc_id", "left"))
-    at = f"{shared_dir(spark)}/history-{id(history):x}-{np.random.default_rng().integers(1 << 40):x}"
-    # One folder a batch: each is read when its turn comes, and as history afterwards.
-    table.repartition("batch_no").write.partitionBy("batch_no").parquet(f"{at}/rows")
-    kinds = table.schema
-    batches = [r.batch_no for r in rows.select("batch_no").distinct().orderBy("batch_no").collect()]
-    found = []
-    for n in batches:
-        batch = spark.read.schema(kinds).parquet(f"{at}/rows").where(F.col("batch_no") == n)
-        if history.parts:
-            history.check(batch).write.parquet(f"{at}/pairs/{n}")
-            pairs = spark.read.schema("a long, b long").parquet(f"{at}/pairs/{n}")
-            found.append(pairs)
-            batch = batch.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-        history.append(batch)
-    out = None
-    for p in found:
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        out = spark.createDataFrame([], "a long, b long")
-    return out.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+    history = History(spark, at, pivots([r.letters for r in first.collect()]), least)
+    keys = rows.where("source is not null").groupBy("source", "numbers").agg(F.min("doc_id").alias("i"), F.max("doc_id").alias("j")).where("i < j")
+    some = materialise(rows.join(keys.select("source", "numbers"), ["source", "numbers"], "left_semi").select("doc_id").distinct())
+    kept = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some) if some.count() <= most else some, "doc_id", "left_semi")
+    texts = materialise(kept)
+    table = materialise(history.distances(rows.dropDuplicates(["doc_id"])))
+    for n in sorted(r.batch_no for r in table.select("batch_no").distinct().collect())[1:]:
+        history.check(table, n, texts)
+    out = history.links() if history.checked else spark.createDataFrame([], "a long, b long")
+    return out.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).dropDuplicates()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
