@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "p1_scan_noise",
     "p2_near_records",
     "p3_canonical",
     "p4_history",
