@@ -1 +1 @@
-
+"""Queries over the contract tables, each with its SQL."""
