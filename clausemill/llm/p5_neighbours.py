@@ -84,7 +84,7 @@ def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embeddin
     all rows are indexed and all are queries. A cell that the sample shows to be larger
     than ``chunk`` rows is split into chunks, so that no task holds an unbounded cell.
     Groups of equal vectors are broadcast up to ``most`` (24 MB), joined beyond. There are
-    ``n / per_cell`` cells, at least 256.
+    ``n / per_cell`` cells, at least 256, but one for fewer than 4096 vectors.
     """
     spark = df.sparkSession
     v = F.col(vector)
@@ -99,8 +99,8 @@ def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embeddin
     several = groups.where(F.col("last") != F.col("id")).select("h", F.col("id").alias("rep"))
     few = several.count() <= most
     single = usable.join(F.broadcast(several) if few else several, "h", "left").where("rep is null or rep = id").select("id", "v")
-    cells = 256
-    while cells < min(4096, n // per_cell):
+    cells = 1 if n < 4096 else 256
+    while n >= 4096 and cells < min(4096, n // per_cell):
         cells *= 2
     wanted = 32 * max(cells, 512)
     share = min(1.0, 1.2 * wanted / max(n, 1))
