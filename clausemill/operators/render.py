@@ -92,7 +92,7 @@ def sanitise(p: str, num_ids: Iterable[str] = ()) -> str:
     """A lifted paragraph without undefined lists, drawings and field machinery; links keep their text."""
     num = re.search(r'(?s)<w:numPr.*?<w:numId[^>]*w:val="([^"]*)".*?</w:numPr>', p)
     if num and num[1] not in set(num_ids):
-        p = re.sub(r"(?s)<w:numPr.*?(?:</w:numPr>|/>)", "", p)
+        p = re.sub(r"(?s)<w:numPr\s*/>|<w:numPr\b.*?</w:numPr>", "", p)
     for tag in ("drawing", "pict", "object"):
         p = re.sub(rf"(?s)<w:{tag}\b(?:[^>]*/>|.*?</w:{tag}>)", "", p)
     p = re.sub(r"</?w:fldSimple[^>]*>|</?w:hyperlink[^>]*>", "", p)
