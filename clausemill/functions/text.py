@@ -17,6 +17,9 @@ PLACEHOLDER = r"(?s)\{\{(.*?)\}\}"
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrsssstt" + "uuuuuuwyzzz"
 
+#: The combining marks U+0300 to U+036F; translate() drops what has no counterpart.
+COMBINING = "".join(map(chr, range(0x300, 0x370)))
+
 
 def squash(x: Column) -> Column:
     """All runs of white space as one blank, none at the ends."""
@@ -122,8 +125,8 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without marks on Latin letters."""
-    return F.translate(F.lower(x), MARKED, PLAIN)
+    """Lower case without marks on Latin letters, written as one character or as a letter and its marks."""
+    return F.translate(F.lower(x), MARKED + COMBINING, PLAIN)
 
 
 def tokens(x: Column) -> Column:

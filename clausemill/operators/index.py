@@ -26,6 +26,12 @@ def postings(rows: DataFrame, key: str = "clause_id", source: str = "source", fi
     return e.groupBy(source, key, "token").agg(F.sum("h").alias("tf_heading"), F.sum(1 - F.col("h")).alias("tf_body"), F.first("len").alias("len"))
 
 
+def sizes(rows: DataFrame, key: str = "clause_id", source: str = "source", first: str = "heading", second: str = "body") -> DataFrame:
+    """(``source``, ``key``, len): tokens of each row that has any; no shuffle."""
+    n = F.size(tokens(F.coalesce(F.col(first), F.lit("")))) + F.size(tokens(F.coalesce(F.col(second), F.lit(""))))
+    return rows.select(source, key, n.alias("len")).where("len > 0")
+
+
 FNV_START, FNV_PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
 
 

@@ -92,7 +92,7 @@ OPERATIVE = ("definition", "schedule", "recital", "execution")
 def hydrate(ranked: DataFrame, clauses: DataFrame, documents: DataFrame, key: str = "clause_id") -> DataFrame:
     """Hits with the columns of their clause, of live documents."""
     live = documents.where(~F.coalesce("deleted", F.lit(False))).select("doc_id")
-    return ranked.join(clauses.drop("source"), key).join(live, "doc_id", "left_semi")
+    return ranked.join(clauses.drop("source") if "source" in ranked.columns else clauses, key).join(live, "doc_id", "left_semi")
 
 
 def rank_hits(fused: DataFrame, clauses: DataFrame, documents: DataFrame, limit: int, where: Column | None = None, key: str = "clause_id") -> DataFrame:

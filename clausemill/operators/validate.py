@@ -44,7 +44,7 @@ def empty_clauses(clauses: DataFrame) -> DataFrame:
 
 
 def unresolved(clauses: DataFrame) -> DataFrame:
-    x = clauses.withColumn("name", F.explode(placeholders(F.coalesce("body", F.lit("")))))
+    x = clauses.select("doc_id", "new_number", "heading", F.explode(placeholders(F.coalesce("body", F.lit("")))).alias("name"))
     return _out(x, "error", "unresolved-variable", location(F.col("new_number"), F.col("heading")), F.col("name"))
 
 
@@ -57,8 +57,8 @@ def dangling(clauses: DataFrame) -> DataFrame:
 
 def terms(clauses: DataFrame, defs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(used, unused): (doc_id, term) used by clauses; findings of definitions that no clause uses."""
-    table = defs.where("term is not null").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    used = clauses.join(table, "doc_id").select("doc_id", F.explode(terms_used(F.coalesce("body", F.lit("")), F.col("terms"))).alias("term")).distinct()
+    table = defs.where("term is not null").groupBy("doc_id").agg(F.collect_set("term").alias("__terms"))
+    used = clauses.join(table, "doc_id").select("doc_id", F.explode(terms_used(F.coalesce("body", F.lit("")), F.col("__terms"))).alias("term")).distinct()
     idle = defs.where("term is not null").select("doc_id", "term").distinct().join(used, ["doc_id", "term"], "left_anti")
     return used, _out(idle, "warning", "unused-definition", F.concat(F.lit('definition "'), F.col("term"), F.lit('"')), F.lit("is defined but never used"))
 

@@ -20,7 +20,7 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clause_labels(spark, d):
-    return live(spark, d).select("clause_id", label.clause_type(F.col("heading"), F.col("body")).alias("label"))
+    return label.with_clause_type(live(spark, d).select("clause_id", "heading", "body")).select("clause_id", "label")
 
 
 LABELS = f"""
@@ -174,7 +174,7 @@ select clause_id, coalesce(array_to_string(list_filter(terms, lambda x: octet_le
 
 
 def missing_required(spark, d):
-    c = live(spark, d).select("doc_id", label.clause_type(F.col("heading"), F.col("body")).alias("clause_type")).where("clause_type is not null")
+    c = label.with_clause_type(live(spark, d).select("doc_id", "heading", "body"), "clause_type").select("doc_id", "clause_type").where("clause_type is not null")
     types = read(spark, d, "documents").select("doc_id", F.col("contract_type"), label.contract_type(F.coalesce("contract_type", F.lit("")), F.lit("")).alias("t"))
     types = types.select("doc_id", F.coalesce("t", "contract_type").alias("contract_type")).where("contract_type is not null")
     return assemble.missing_required(c, assemble.rule_rows(spark), types)
@@ -198,7 +198,7 @@ def checklist_order(spark, d):
     """The place of every canonical clause label in each contract type's order."""
     rows = [(ct, t, assemble.order_index(ct, t)) for ct in [*T.CHECKLISTS, "Something Else"] for t in [*T.GENERIC_ORDER, "Something Else"]]
     places = spark.createDataFrame(rows, "contract_type string, clause_type string, order_index int")
-    n = live(spark, d).select(label.clause_type(F.col("heading"), F.col("body")).alias("clause_type")).groupBy("clause_type").agg(F.count(F.lit(1)).alias("clauses"))
+    n = label.with_clause_type(live(spark, d).select("heading", "body"), "clause_type").groupBy("clause_type").agg(F.count(F.lit(1)).alias("clauses"))
     return places.join(n, "clause_type").select("contract_type", "clause_type", "order_index", "clauses")
 
 

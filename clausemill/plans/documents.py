@@ -83,9 +83,9 @@ select doc_id, {TITLE('t')} as title from q
 
 
 def contract_types(spark, d):
-    docs = read(spark, d, "documents")
+    docs = read(spark, d, "documents").select("doc_id", "rel_path", "text")
     name = F.substring_index(F.replace("rel_path", F.lit("\\"), F.lit("/")), "/", -1)
-    return docs.select("doc_id", label.contract_type(name, F.col("text")).alias("contract_type"), label.jurisdiction(F.coalesce("text", F.lit(""))).alias("jurisdiction"))
+    return label.with_document_labels(docs, name).select("doc_id", "contract_type", "jurisdiction")
 
 
 _INSTR = "|".join(T.INSTRUMENTS)

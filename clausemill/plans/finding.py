@@ -24,9 +24,7 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 def _tables(spark, d):
     c = live(spark, d)
-    post = index.postings(c)
-    sizes = post.groupBy("source", "clause_id").agg(F.first("len").alias("len"))
-    return c, post, sizes
+    return c, index.postings(c), index.sizes(c)
 
 
 def postings_stats(spark, d):

@@ -125,7 +125,7 @@ def test_search_round_trip(spark):
     c = spark.createDataFrame([(i, i, "s", "p", "clause", str(i), i, 0, h, None, b, None, None, None, i == 3) for i, (h, b) in enumerate([("Termination", "either party may terminate"), ("Payment", "fees are due"), (None, "governing law of the place"), ("Payment", "payment of fees")])], "clause_id long, doc_id long, source string, rel_path string, kind string, number string, seq int, depth int, heading string, term string, body string, clause_type string, contract_type string, jurisdiction string, approved boolean")
     docs = c.select("doc_id", F.lit(False).alias("deleted"))
     post = index.postings(c)
-    sizes = post.groupBy("source", "clause_id").agg(F.first("len").alias("len"))
+    sizes = index.sizes(c)
     q = spark.createDataFrame([(1, "payment fees"), (2, "!?")], "query_id long, query string")
     top = search.cut(search.bm25(post, search.query_tokens(q), sizes), [F.desc("score")], 2).collect()
     assert {r.query_id for r in top} == {1} and {r.clause_id for r in top} == {1, 3}
