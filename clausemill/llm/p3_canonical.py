@@ -211,6 +211,8 @@ def resolve(values: DataFrame, canon: DataFrame, shard: int = 20_000) -> DataFra
     distinct = values.select("kind", "value").where("kind is not null and value is not null").where(~F.col("value").rlike(r"\A(?U)[\s\p{Cntrl}]*\z")).groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one")
     entries = canon.where("label_id is not null and label is not null").select("label_id", "kind", "label", "aliases")
     shards = max(1, -(-entries.count() // shard))
+    # Few bytes but much work a row: adaptive execution mustn't join these into a task or two.
+    distinct = distinct.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if shards > 1:
         distinct = materialise(distinct)
     result = None
