@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.operators import index, prompt, search
 from clausemill.plans.clauses import live
 from clausemill.plans.sql import LIVE
-from clausemill.session import read, shared_dir
+from clausemill.session import materialise, read, scratch
 from clausemill.streaming import watch
 
 #: A stated set of text queries.
@@ -23,7 +21,7 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 
 def _tables(spark, d):
-    c = live(spark, d)
+    c = materialise(live(spark, d))  # the index's clause table: deduplicated once, read by each branch
     return c, index.postings(c), index.sizes(c)
 
 
@@ -160,7 +158,7 @@ def stream_ingest(spark, d):
 
     schema = read(spark, d, "documents").schema
     table = f"{d}/[d]ocuments.parquet"  # a pattern, so that it may be a file or a folder
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     count = lambda df: df.select("doc_id", "source", F.size(tokens(F.coalesce("text", F.lit("")))).alias("words"))
     watch.ingest_stream(spark, table, schema, f"{at}/out", f"{at}/state", count).awaitTermination()
     return spark.read.parquet(f"{at}/out")

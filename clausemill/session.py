@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,9 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return ctx.getCheckpointDir() or conf
 
 
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder; cleanup() deletes it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession | None = None) -> None:
+    """Delete what this session has put into the shared folder; DataFrames over it can't be read any more."""
+    spark = spark or SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the session may have ended
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while _made:
+            p = path(_made.pop())
+            p.getFileSystem(conf).delete(p, True)
+
+
+atexit.register(cleanup)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder; it outlives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
