@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.p3_canonical import distance
 from clausemill.llm.shingles import shingle_sets
-from clausemill.session import materialise, read, shared_dir
+from clausemill.session import materialise, read, scratch
 
 #: Month names, and marks of copies and versions at a file name's ends.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -194,7 +194,7 @@ def repeats(docs: DataFrame, least: float = 0.5, sample: int = 256, most: int =
     are broadcast up to ``most``, joined beyond.
     """
     spark = docs.sparkSession
-    at = f"{shared_dir(spark)}/history-{np.random.default_rng().integers(1 << 60):x}"
+    at = scratch(spark, "history")
     rows = materialise(describe(docs))
     first = rows.select("letters").where("letters != ''").orderBy(F.xxhash64("letters"), "letters").limit(sample)
     history = History(spark, at, pivots([r.letters for r in first.collect()]), least)
