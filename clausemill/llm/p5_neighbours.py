@@ -73,7 +73,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embedding", k: int = 5, floor: float = 0.9, dim: int = 64, margin: float = 0.055, per_cell: int = 2048, levels: int = 3, words: int = 64, beam: int = 4, chunk: int = 8192, most: int = 1_000_000) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embedding", k: int = 5, floor: float = 0.9, dim: int = 64, margin: float = 0.055, per_cell: int = 2048, levels: int = 7, words: int = 64, beam: int = 4, deviations: float = 2.5, chunk: int = 8192, most: int = 1_000_000) -> DataFrame:
     """Directed links (src, dst, cosine): of each vector the ``k`` most similar others with cosine >= ``floor``.
 
     Null ids, null vectors, vectors of another dimension, with a null or non-finite
@@ -138,8 +138,8 @@ def neighbours(df: DataFrame, id_col: str = "clause_id", vector: str = "embeddin
                 sums = sum(b[codes[:, i]] for i, b in enumerate(books))
                 along = (x * sums).sum(1)
                 off = np.sqrt(np.maximum((sums * sums).sum(1) - along * along, 0))
-                # x.y >= floor makes y.sum at least this, but for chance of more than three deviations.
-                least = floor * along - 3.0 * np.sqrt(max(0.0, 1 - floor * floor) / (dim - 1)) * off
+                # x.y >= floor makes y.sum at least this, but for a chance beyond so many deviations at the floor itself.
+                least = floor * along - deviations * np.sqrt(max(0.0, 1 - floor * floor) / (dim - 1)) * off
                 salt = (ids * 2654435761 % 2**31) % salts[home]
                 q, c = np.nonzero(probe)
                 rows = [(np.arange(len(x)), home, salt, np.ones(len(x), bool))]
