@@ -236,28 +236,80 @@ def verify(pairs: DataFrame, df: DataFrame, floor: float, width: int, most: int
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, common long, size_a long, size_b long")
 
 
+def copies(df: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """(rows to join, members): groups of texts with the same words are joined by their least id alone.
+
+    ``df``: (id, text). Groups are made from two 64-bit hashes of the words, counted
+    before the shuffle; members is (rep, id) of the groups of several ids. The texts
+    aren't shuffled where the groups' hashes fit a broadcast of a million rows.
+    """
+    words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    rows = df.withColumn("w", words).where((F.col("w") != "") & (F.size(F.split("w", " ")) >= least_words))
+    rows = rows.select("id", "text", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(7), "w").alias("g"))
+    groups = materialise(rows.groupBy("h", "g").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last"))
+    side = F.broadcast(groups) if groups.count() <= 1_000_000 else groups
+    joined = rows.join(side, ["h", "g"], "left")
+    return joined.where("rep is null or rep = id").select("id", "text"), joined.where("rep is not null").select("rep", "id").dropDuplicates()
+
+
+def linked(df: DataFrame, id_col: str, text: F.Column, floor: float, width: int, least_words: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of representatives with counts, members of groups of copies, all rows)."""
+    base = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null and text is not null")
+    single, members = copies(base, least_words)
+    pairs = materialise(candidates(single, floor, width, least_words, frequencies(base, width), hot))
+    return verify(pairs, single, floor, width), members, base
+
+
 def alike(df: DataFrame, id_col: str, text: F.Column, floor: float = 0.8, width: int = 5, least_words: int = 5, hot: int = 50_000) -> DataFrame:
-    """Pairs (a < b) of rows whose texts share at least ``floor`` of their distinct runs of ``width`` words, with counts.
+    """Pairs (a < b) of rows whose texts share at least ``floor`` of their distinct runs of ``width`` words.
 
     Exact: no cap, no sampling. Null ids and null texts are left out; texts with fewer
     than ``least_words`` words (so the empty ones) pair with none; rows that repeat an id
     must be alike and count once. Other columns are ignored. Only hashes travel between
     executors; the frequency table has a fixed 2**20 entries. A shingle that stands in
-    more than ``hot`` places is split by the next shared one.
+    more than ``hot`` places is split by the next shared one. Copies (the same words) are
+    joined once and expanded at the end, so that a large group of them costs no more than
+    the rows it yields; where those aren't wanted, use classes().
     """
-    base = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null and text is not null")
-    pairs = materialise(candidates(base, floor, width, least_words, frequencies(base, width), hot))
-    return verify(pairs, base, floor, width)
+    links, members, _ = linked(df, id_col, text, floor, width, least_words, hot)
+    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    wide = links.select("a", "b").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("p"), F.coalesce("y", "b").alias("q"))
+    same = left.withColumnRenamed("a", "b").join(right, "b").where("x < y").select(F.col("x").alias("p"), F.col("y").alias("q"))
+    return wide.unionByName(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def classes(df: DataFrame, id_col: str, text: F.Column, floor: float = 0.8, width: int = 5, least_words: int = 5, hot: int = 50_000) -> DataFrame:
+    """(id, class_id, links): one row an id; class_id is the least id with the same words, links the number of other ids alike.
+
+    Nothing is expanded: sizes of groups are summed over the pairs of representatives.
+    Ids of null or short texts are classes of their own without links.
+    """
+    links, members, base = linked(df, id_col, text, floor, width, least_words, hot)
+    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    more = both.join(size.withColumnRenamed("rep", "other"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("near"))
+    ids = base.select("id").dropDuplicates().join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    out = ids.join(size, "rep", "left").join(more, "rep", "left")
+    return out.select("id", F.col("rep").alias("class_id"), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+
+
+def _text() -> F.Column:
+    return F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clauses = read(spark, sf_dir, "clauses")
-    text = F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    return alike(clauses, "clause_id", text, floor=0.6, width=3, least_words=30).select(F.col("a").alias("clause_a"), F.col("b").alias("clause_b"))
+    found = alike(read(spark, sf_dir, "clauses"), "clause_id", _text(), floor=0.6, width=3, least_words=30)
+    return found.select(F.col("a").alias("clause_a"), F.col("b").alias("clause_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each clause with its class of copies and its number of links at five words and 0.8."""
+    found = classes(read(spark, sf_dir, "clauses"), "clause_id", _text())
+    return found.withColumnRenamed("id", "clause_id")
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p2_classes": p2_classes}
 
 
 def oracle_sql() -> dict:

@@ -116,10 +116,15 @@ def test_near_records(spark, hot, floor, width):
                 w[k : k + rng.randint(0, 1)] = [rng.choice(WORDS)]
             rows.append((i, " ".join(w)))
             i += 1
+    rows += [(300 + k, rows[5][1].upper() + "!") for k in range(7)]  # copies
     rows += [(1000, None), (1001, ""), (1002, "one two"), (3, rows[3][1])]  # repeated row
     df = spark.createDataFrame([(a, b, "clash") for a, b in rows], "clause_id long, body string, id string")
     got = {(r.a, r.b) for r in p2.alike(df, "clause_id", F.col("body"), floor, width, 5, hot).collect()}
-    assert got == brute_pairs(dict(rows).items(), floor, width, 5)
+    want = brute_pairs(dict(rows).items(), floor, width, 5)
+    assert got == want
+    own = {r.id: r for r in p2.classes(df, "clause_id", F.col("body"), floor, width, 5, hot).collect()}
+    assert set(own) == {i for i, t in rows if t is not None}
+    assert {i: r.links for i, r in own.items()} == {i: sum(i in p for p in want) for i in own}
 
 
 def test_near_records_empty(spark):
