@@ -53,6 +53,28 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def mistyped(a: str, b: str, limit: int = 3) -> bool:
+    """Whether at most ``limit`` letters are changed, dropped, added or swapped with their neighbour."""
+    if abs(len(a) - len(b)) > limit or distance(a, b) > 2 * limit:
+        return False
+    if distance(a, b) <= limit:
+        return True
+    far = limit + 1
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            now.append(d)
+        if min(now) > far:
+            return False
+        before, row = row, now
+    return row[-1] <= limit
+
+
 class BKTree:
     def __init__(self, words):
         self.root = None
@@ -132,6 +154,11 @@ def allowed(n: int) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 8 else 3 if n <= 12 else 4
 
 
+def slips(n: int) -> int:
+    """Slips of the hand that a value of ``n`` letters may have, where a swap of two letters is one."""
+    return 0 if n <= 3 else 1 if n <= 5 else 2
+
+
 class Canon:
     """One shard of the entries of one kind: [(label_id, label, aliases)]."""
 
@@ -189,8 +216,9 @@ class Canon:
                 return 3, 0, next(iter(found))
         best: tuple[int, int] | None = None
         for f in forms:
-            for d, entry in self.tree.within(f, allowed(len(f))):
-                if d <= allowed(min(len(f), len(entry))) and (best is None or (d, self.exact[entry]) < best):
+            for d, entry in self.tree.within(f, max(allowed(len(f)), 2 * slips(len(f)))):
+                n = min(len(f), len(entry))
+                if (d <= allowed(n) or mistyped(f, entry, slips(n))) and (best is None or (d, self.exact[entry]) < best):
                     best = (d, self.exact[entry])
         if best:
             return 4, best[0], best[1]

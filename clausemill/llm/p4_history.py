@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm.p3_canonical import distance
+from clausemill.llm.p3_canonical import distance, mistyped
 from clausemill.llm.shingles import shingle_sets
 from clausemill.session import materialise, read, scratch
 
@@ -56,28 +56,6 @@ def name_parts(path: str | None) -> tuple[str, str, str]:
     return numbers, letters, month
 
 
-def mistyped(a: str, b: str, limit: int = MISTYPED) -> bool:
-    """Whether at most ``limit`` letters are changed, dropped, added or swapped with their neighbour."""
-    if abs(len(a) - len(b)) > limit or distance(a, b) > 2 * limit:
-        return False
-    if distance(a, b) <= limit:
-        return True
-    far = limit + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > far:
-            return False
-        before, row = row, now
-    return row[-1] <= limit
-
-
 def pivots(names: list[str], n: int = 3) -> list[str]:
     """Names far from one another, farthest first; fixed for the life of a history."""
     names = sorted(set(names)) or [""]
@@ -128,7 +106,7 @@ def near_names(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             col = {n: batch.column(n).to_pylist() for n in ("la", "lb", "ma", "mb")}
-            ok = [i for i in range(batch.num_rows) if not (col["ma"][i] and col["mb"][i] and col["ma"][i] != col["mb"][i]) and mistyped(col["la"][i], col["lb"][i])]
+            ok = [i for i in range(batch.num_rows) if not (col["ma"][i] and col["mb"][i] and col["ma"][i] != col["mb"][i]) and mistyped(col["la"][i], col["lb"][i], MISTYPED)]
             take = pa.array(ok, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 

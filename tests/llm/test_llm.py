@@ -169,7 +169,7 @@ def test_distance_and_tree():
 
 def test_canonical(spark):
     canon = spark.createDataFrame([(1, "t", "Term and Renewal", "duration; commencement"), (2, "t", "Limitation of Liability", None), (3, "t", "Anti-Corruption", "bribery"), (None, "t", "x", None), (4, "u", "Software Licence", "EULA")], "label_id int, kind string, label string, aliases string")
-    values = {"12.3 TERM AND RENEWAL": 1, "Renewal & Term": 1, "Renewal, Term": 1, "Liability, Limitation of": 2, "Limi. of Liab.": 2, "LIIMTATION OF LIABILLITY": 2, "IV. Durration": 1, "Term and Renewal (see note)": 1, "§ 4 Revised  bribery:": 3, "Lunch Quiz": 0, "n/a": 0, "???": 0, "Anti.": 3, "x" * 5000: 0}
+    values = {"12.3 TERM AND RENEWAL": 1, "Renewal & Term": 1, "Renewal, Term": 1, "Liability, Limitation of": 2, "Limi. of Liab.": 2, "LIIMTATION OF LIABILLITY": 2, "IV. Durration": 1, "Term and Renewal (see note)": 1, "§ 4 Revised  bribery:": 3, "Lunch Quiz": 0, "n/a": 0, "???": 0, "Anti.": 3, "briebry": 3, "brieyrb": 0, "x" * 5000: 0}
     rows = [("t", v) for v in values] + [("t", None), ("t", "  "), ("u", "eula"), ("t", "eula"), ("none", "Term"), ("t", "n/a")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "kind string, value string, label_id int")
     for shard in (100, 1):
@@ -186,7 +186,7 @@ def test_names():
     a = p4.name_parts("x/2012-05-04 Office Lease with Alpha.docx")
     assert a == p4.name_parts("y\\z\\2012-05-04_OFFICE%20LEASE with alpha - Copy (2)_rev B.PDF") == p4.name_parts("Copy of 2012-05-04 Office Lease with Alpha FNAL signed.md")
     assert p4.name_parts(None) == p4.name_parts("") == ("", "", "")
-    assert p4.mistyped("pacakging", "packaging") and p4.mistyped("abcdefgh", "bacdfegh") and not p4.mistyped("alpha", "omega")
+    assert p4.mistyped("pacakging", "packaging") and p4.mistyped("abcdefgh", "bacdfegh") and not p4.mistyped("alpha", "omega", 3)
 
 
 def test_history(spark):
