@@ -237,19 +237,21 @@ def verify(pairs: DataFrame, df: DataFrame, floor: float, width: int, most: int
 
 
 def copies(df: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to join, members): groups of texts with the same words are joined by their least id alone.
+    """(rows to join, members): groups of equal texts are joined by their least id alone.
 
-    ``df``: (id, text). Groups are made from two 64-bit hashes of the words, counted
-    before the shuffle; members is (rep, id) of the groups of several ids. The texts
-    aren't shuffled where the groups' hashes fit a broadcast of a million rows.
+    ``df``: (id, text). Groups are made from two 64-bit hashes of the text, counted
+    before the shuffle; members is (rep, id) of the groups of several ids whose text
+    has ``least_words``. The texts aren't shuffled where the groups' hashes fit a
+    broadcast of a million rows.
     """
-    words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    rows = df.withColumn("w", words).where((F.col("w") != "") & (F.size(F.split("w", " ")) >= least_words))
-    rows = rows.select("id", "text", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(7), "w").alias("g"))
+    rows = df.select("id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g"))
     groups = materialise(rows.groupBy("h", "g").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last"))
     side = F.broadcast(groups) if groups.count() <= 1_000_000 else groups
     joined = rows.join(side, ["h", "g"], "left")
-    return joined.where("rep is null or rep = id").select("id", "text"), joined.where("rep is not null").select("rep", "id").dropDuplicates()
+    # Words are counted for members only: the pattern is dear, and all other texts are cut in the join anyway.
+    words = F.size(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "))
+    members = rows.join(side, ["h", "g"]).where(words >= least_words).select("rep", "id").dropDuplicates()
+    return joined.where("rep is null or rep = id").select("id", "text"), members
 
 
 def linked(df: DataFrame, id_col: str, text: F.Column, floor: float, width: int, least_words: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -267,7 +269,7 @@ def alike(df: DataFrame, id_col: str, text: F.Column, floor: float = 0.8, width:
     than ``least_words`` words (so the empty ones) pair with none; rows that repeat an id
     must be alike and count once. Other columns are ignored. Only hashes travel between
     executors; the frequency table has a fixed 2**20 entries. A shingle that stands in
-    more than ``hot`` places is split by the next shared one. Copies (the same words) are
+    more than ``hot`` places is split by the next shared one. Copies (equal texts) are
     joined once and expanded at the end, so that a large group of them costs no more than
     the rows it yields; where those aren't wanted, use classes().
     """
@@ -279,7 +281,7 @@ def alike(df: DataFrame, id_col: str, text: F.Column, floor: float = 0.8, width:
 
 
 def classes(df: DataFrame, id_col: str, text: F.Column, floor: float = 0.8, width: int = 5, least_words: int = 5, hot: int = 50_000) -> DataFrame:
-    """(id, class_id, links): one row an id; class_id is the least id with the same words, links the number of other ids alike.
+    """(id, class_id, links): one row an id; class_id is the least id with the same text, links the number of other ids alike.
 
     Nothing is expanded: sizes of groups are summed over the pairs of representatives.
     Ids of null or short texts are classes of their own without links.

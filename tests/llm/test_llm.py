@@ -116,7 +116,7 @@ def test_near_records(spark, hot, floor, width):
                 w[k : k + rng.randint(0, 1)] = [rng.choice(WORDS)]
             rows.append((i, " ".join(w)))
             i += 1
-    rows += [(300 + k, rows[5][1].upper() + "!") for k in range(7)]  # copies
+    rows += [(300 + k, rows[5][1].upper() + "!") for k in range(7)] + [(320 + k, "one two") for k in range(3)]  # copies
     rows += [(1000, None), (1001, ""), (1002, "one two"), (3, rows[3][1])]  # repeated row
     df = spark.createDataFrame([(a, b, "clash") for a, b in rows], "clause_id long, body string, id string")
     got = {(r.a, r.b) for r in p2.alike(df, "clause_id", F.col("body"), floor, width, 5, hot).collect()}
@@ -147,15 +147,12 @@ def test_distance_and_tree():
     def slow(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
-            row = [i] + [0] * len(b) if False else _step(row, i, x, b)
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
         return row[-1]
 
-    def _step(row, i, x, b):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
-        return now
-
     rng = random.Random(2)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(120)]
     for _ in range(300):
