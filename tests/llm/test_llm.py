@@ -78,6 +78,7 @@ def test_scan_noise(spark):
     assert got[1] == ({"glyph", "hyphen", "header", "pageno"}, body)
     assert got[2] == ({"header", "pageno", "glyph"}, "") and got[3] == ({"pageno"}, "")
     assert got[4][0] == set() and got[5] == (set(), None) and got[6] == (set(), "") and got[7][0] == set()
+    assert {r.rec_id - 60: set(r.noise) for r in p1.clean(records(spark, rows), texts=False).collect()} == {k: v for k, (v, _) in got.items() if v}
     assert p1.clean(records(spark, rows).limit(0)).count() == 0
 
 
