@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clausemill.functions.text import tokens
+from clausemill.session import materialise
 
 RRF_K = 60
 BOOST = 1.5
@@ -33,10 +38,10 @@ def bm25(postings: DataFrame, terms: DataFrame, sizes: DataFrame, key: str = "cl
     queries' words are read on; the words are few and broadcast by the planner.
     """
     stats = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avg_len"))
-    words = terms.select("token").distinct()
-    hit = postings.join(words, "token", "left_semi")
+    hit = postings.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
     spread = hit.groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
-    x = hit.join(spread, ["source", "token"]).join(stats, "source").join(terms, "token")
+    # Only the queries' words are broadcast: postings that lie together by row are multiplied and summed where they are.
+    x = hit.join(F.broadcast(spread.join(stats, "source").join(terms, "token")), ["source", "token"])
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, FLOOR).otherwise(idf)
     f = F.col("tf_heading") * WEIGHTS["tf_heading"] + F.col("tf_body") * WEIGHTS["tf_body"]
@@ -55,6 +60,76 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str = "clause_id") -> DataF
     return v.join(F.broadcast(q), F.size("v") == F.size("q")).select("query_id", "source", key, d.alias("distance"))
 
 
+def width(df: DataFrame) -> int:
+    """Partitions of a shuffle that adaptive execution mustn't join."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, most: int, key: str = "clause_id", block: int = 20_000) -> DataFrame:
+    """(query_id, source, ``key``, distance): of knn()'s rows at least the ``most`` nearest of each query and source.
+
+    Exact: a matrix product finds the rows that may be among them, with slack for its
+    rounding and for ties at nine digits; their distances are then summed by differences.
+    ``block`` queries are broadcast at a time, one pass over the vectors each.
+    """
+    spark = vectors.sparkSession
+    kinds = [queries.schema["query_id"], vectors.schema["source"], vectors.schema[key]]
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(("query_id", "source", key), kinds, strict=True)), StructField("distance", DoubleType())])
+    v = materialise(vectors.where("embedding is not null").select("source", key, F.col("embedding").cast("array<double>").alias("v")))
+    q = materialise(queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q")))
+    # A source's rows together, so that little more than ``most`` of each leaves the workers; large sources are split.
+    v = v.repartition(width(v), "source", F.pmod(F.xxhash64(key), F.lit(1 + v.count() // 1_000_000))).sortWithinPartitions("source")
+    blocks = max(1, -(-q.count() // block))
+    result = None
+    for k in range(blocks):
+        t = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow()
+        sets: dict[int, tuple[list, list]] = {}
+        for i, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
+            ids, rows = sets.setdefault(len(x), ([], []))
+            ids.append(i)
+            rows.append(x)
+        shared = spark.sparkContext.broadcast({d: (pa.array(ids), np.array(rows, dtype=np.float64)) for d, (ids, rows) in sets.items()})
+
+        def run(batches, shared=shared):
+            names = ["query_id", "source", key, "distance"]
+
+            def search(t):
+                t = t.combine_chunks()
+                for source in t.column(0).unique():
+                    of = t.filter(pc.equal(t.column(0), source)) if source.is_valid else t.filter(pc.is_null(t.column(0)))
+                    ids, lists = of.column(1).combine_chunks(), of.column(2).combine_chunks()
+                    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                    for d in set(sizes.tolist()) & shared.value.keys():
+                        at = np.flatnonzero(sizes == d)
+                        x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+                        qids, y = shared.value[d]
+                        xx, yy = (x * x).sum(1), (y * y).sum(1)
+                        for b in range(0, len(y), 256):
+                            near = xx - 2.0 * (y[b : b + 256] @ x.T) + yy[b : b + 256, None]
+                            near[np.isnan(near)] = np.inf  # a vector with a null or NaN is the farthest
+                            if len(at) > most:
+                                edge = np.partition(near, most - 1, axis=1)[:, most - 1 : most]
+                                i, j = np.nonzero(near <= edge + 2e-9 + 1e-12 * (xx[np.isfinite(xx)].max(initial=0.0) + yy[b : b + 256, None]))
+                            else:
+                                i, j = (z.ravel() for z in np.indices(near.shape))
+                            far = ((x[j] - y[b + i]) ** 2).sum(1)
+                            yield pa.RecordBatch.from_arrays([qids.take(pa.array(b + i)), pa.array([source.as_py()] * len(i), type=pa.string()), ids.take(pa.array(at[j])), pa.array(far)], names=names)
+
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= 50_000:
+                    yield from search(pa.Table.from_batches(held))
+                    held, n = [], 0
+            if n:
+                yield from search(pa.Table.from_batches(held))
+
+        now = v.mapInArrow(run, schema)
+        result = now if result is None else result.unionByName(now)
+    return result
+
+
 def cut(scored: DataFrame, order: list[Column], most: int, key: str = "clause_id", rank: str = "rank") -> DataFrame:
     """The first ``most`` rows of each query and source, with their rank from 1 (cut before the shuffle by the group limit)."""
     w = W.partitionBy("query_id", "source").orderBy(*order, key)
@@ -109,8 +184,13 @@ def rank_hits(fused: DataFrame, clauses: DataFrame, documents: DataFrame, limit:
 def hybrid(queries: DataFrame, post: DataFrame, sizes: DataFrame, vectors: DataFrame, clauses: DataFrame, documents: DataFrame, limit: int = 10, where: Column | None = None, key: str = "clause_id") -> DataFrame:
     """Ranked hits of a batch of queries (query_id, query, embedding); an empty batch has none."""
     n = per_source(limit)
-    text = cut(bm25(post, query_tokens(queries), sizes, key), [F.desc(F.round("score", 12))], n, key)
-    near = cut(knn(vectors, queries, key), [F.asc(F.round("distance", 9))], n, key)
+    # Queries of the same words have the same scores: each bag of words is scored once, for its least id.
+    words = queries.select("query_id", F.array_sort(tokens(F.col("query"))).alias("words"))
+    bags = words.groupBy("words").agg(F.min("query_id").alias("bag"))
+    terms = bags.select(F.col("bag").alias("query_id"), F.explode("words").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
+    text = cut(bm25(post, terms, sizes, key), [F.desc(F.round("score", 12))], n, key).withColumnRenamed("query_id", "bag")
+    text = text.join(words.join(bags, "words").select("query_id", "bag"), "bag").drop("bag")
+    near = cut(nearest(vectors, queries, n, key), [F.asc(F.round("distance", 9))], n, key)
     return rank_hits(fuse([text, near], key), clauses, documents, limit, where, key)
 
 

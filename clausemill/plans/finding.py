@@ -84,15 +84,18 @@ select query_id, vec_id, cast(rank as int) as rank, round(distance, 6) as distan
 
 
 def _seeds(spark, d, c):
-    """Seed clauses (id divisible by 500) as queries: their heading or term, and their vector."""
+    """Seed clauses (id divisible by 50) as queries: their heading or term, and their vector."""
     v = read(spark, d, "clause_vec").where((F.col("embed_model") == MODEL) & F.col("embedding").isNotNull()).dropDuplicates(["clause_id"]).select("clause_id", "embedding")
-    q = c.where("clause_id % 500 = 0").join(v, "clause_id").select(F.col("clause_id").alias("query_id"), F.coalesce("heading", "term", F.lit("")).alias("query"), "embedding")
+    q = c.where("clause_id % 50 = 0").join(v, "clause_id").select(F.col("clause_id").alias("query_id"), F.coalesce("heading", "term", F.lit("")).alias("query"), "embedding")
     return v.join(c.select("clause_id", "source"), "clause_id"), q
 
 
 def _hybrid(spark, d, where=None, limit=10):
-    c, post, sizes = _tables(spark, d)
+    c, _, sizes = _tables(spark, d)
+    # One shuffle of the texts by row serves the postings and the sums over them.
+    post = index.postings(c.repartition(search.width(c), "source", "clause_id"))
     vectors, queries = _seeds(spark, d, c)
+    queries = materialise(queries)
     return search.hybrid(queries, post, sizes, vectors, c, read(spark, d, "documents"), limit, where)
 
 
