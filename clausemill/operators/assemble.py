@@ -137,13 +137,13 @@ def insert_gaps(roots: list[str], wanted: list[str], contract_type: str) -> list
     return out
 
 
-def draft_rows(clauses: DataFrame, variables: Column, levels: int = 4, exclude: list[str] | None = None) -> DataFrame:
+def draft_rows(clauses: DataFrame, variables: Column, exclude: list[str] | None = None) -> DataFrame:
     """Operative clauses of documents as numbered rows with substituted bodies and rewritten references."""
     rows = tree.effective_depth(clauses.where(~F.col("kind").isin(*OPERATIVE)), order=("seq", "clause_id"))
     if exclude:
         rows = exclude_roots(rows, exclude)
         rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
-    rows = tree.numbered(rows, levels=levels)
+    rows = tree.numbered(rows)
     numbers = tree.number_map(rows)
     body = rewrite_refs(substitute(F.coalesce("body", F.lit("")), variables), F.coalesce("numbers", F.create_map().cast("map<string,string>")))
     rows = rows.join(numbers, "doc_id", "left").withColumn("new_body", body).drop("numbers")

@@ -16,14 +16,16 @@ def effective_depth(rows: DataFrame, key: str = "doc_id", order: tuple = ("seq",
     return p.withColumn("eff", (F.col("pos") + F.min(d - F.col("pos")).over(run)).cast("int"))
 
 
-def numbered(rows: DataFrame, key: str = "doc_id", levels: int = 4) -> DataFrame:
-    """``new_number`` like 2.1.3, for trees of ``eff`` < ``levels``; deeper rows count at the last level.
+def numbered(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``new_number`` like 2.1.3, for trees of any depth.
 
-    Per level one island count and one running sum, all over the same partitioning and
-    order, so one shuffle and one sort serve all levels.
+    The greatest ``eff`` is read first (one number to the driver). Per level one island
+    count and one running sum, all over the same partitioning and order, so one shuffle
+    and one sort serve all levels.
     """
     run = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    e = F.least(F.col("eff"), F.lit(levels - 1))
+    e = F.col("eff")
+    levels = 1 + (rows.agg(F.max("eff")).first()[0] or 0)
     for n in range(levels):
         rows = rows.withColumn(f"__isl{n}", F.sum((e < n).cast("int")).over(run))
     for n in range(levels):

@@ -11,7 +11,7 @@ from clausemill.functions.text import fnv1a64, placeholders, substitute, terms_u
 from clausemill.operators import assemble, index, label, render, segment, tree, validate
 from clausemill.operators.search import OPERATIVE
 from clausemill.plans.sql import LIVE, NORM, SQUASH, TITLE, TRIM, family
-from clausemill.session import read
+from clausemill.session import materialise, read
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +74,18 @@ with {LIVE} select doc_id, clause_id, cast(row_number() over (partition by doc_i
 """
 
 
-def numbered(spark, d) -> DataFrame:
-    ops = live(spark, d).where(~F.col("kind").isin(*OPERATIVE))
+def _once(spark, d) -> DataFrame:
+    """live() as a table: the depth of the trees is read before the trees are numbered."""
+    return materialise(live(spark, d))
+
+
+def numbered(c: DataFrame) -> DataFrame:
+    ops = c.where(~F.col("kind").isin(*OPERATIVE))
     return tree.numbered(tree.effective_depth(ops, order=("seq", "clause_id")))
 
 
 def tree_numbers(spark, d):
-    return numbered(spark, d).select("clause_id", "doc_id", "pos", "eff", "new_number")
+    return numbered(_once(spark, d)).select("clause_id", "doc_id", "pos", "eff", "new_number")
 
 
 _LEVELS = 4
@@ -97,7 +102,7 @@ TREE = f"with {NUMBERED} select clause_id, doc_id, cast(pos as int) as pos, cast
 
 def cross_references(spark, d):
     """References rewritten by each document's map of old numbers to new."""
-    rows = assemble.draft_rows(live(spark, d), F.create_map().cast("map<string,string>"))
+    rows = assemble.draft_rows(_once(spark, d), F.create_map().cast("map<string,string>"))
     return rows.select("clause_id", "doc_id", "new_number", "new_body", F.array_join("refs", ",").alias("refs"))
 
 
@@ -245,7 +250,7 @@ select clause_id, doc_id, cast(eff as int) as eff from b where not bad
 
 
 def markdown_render(spark, d):
-    c = live(spark, d)
+    c = _once(spark, d)
     rows = assemble.draft_rows(c, F.create_map().cast("map<string,string>"))
     return render.markdown(rows, read(spark, d, "documents"), tree.fold_schedules(c))
 
@@ -268,8 +273,8 @@ def docx_render(spark, d):
 
 def validation_findings(spark, d):
     """Findings of all codes over every document, as if each were a draft with its own clauses."""
-    c = live(spark, d)
-    rows = numbered(spark, d)
+    c = _once(spark, d)
+    rows = numbered(c)
     docs = read(spark, d, "documents").select("doc_id", "title", "source")
     defs = c.where("kind = 'definition'").select("doc_id", "term")
     used, unused = validate.terms(c.where(~F.col("kind").isin(*OPERATIVE)), defs)
