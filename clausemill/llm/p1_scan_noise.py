@@ -414,9 +414,8 @@ def clean(records: DataFrame, ratio: int = 12, most: int = 1_000_000, texts: boo
     ``records``: rec_table, rec_id, doc_id, name, para_no, text. Null ids are left out; a
     null text stays null and has no noise, an empty one stays empty; rows that repeat an
     id count once; other columns are ignored. Corrections, known hyphenated words and
-    edge lines are broadcast up to ``most`` rows each; beyond it they are split by hash
-    into parts of that size, one pass over the records each, and the parts' kinds of noise
-    are united (the text is then the first part's).
+    edge lines are broadcast up to ``most`` rows each; beyond it each record meets its own
+    words and lines by shuffled joins (see _apart), with the same result.
     """
     spark = records.sparkSession
     records = records.where("rec_id is not null")
@@ -426,52 +425,118 @@ def clean(records: DataFrame, ratio: int = 12, most: int = 1_000_000, texts: boo
     # Evidence for hyphens: words that stand hyphenated inside a line, and the words of their joined forms.
     evidence = counts.where((F.col("n") >= 2) | F.col("word").contains("-")).select("word", "n")
     n_fix, n_edge, n_known = fixes.count(), edges.count(), evidence.count()
-    parts = max(1, -(-max(n_fix, n_edge, n_known) // most))
-    result = None
-    for k in range(parts):
-        mine = lambda df, *c: df if parts == 1 else df.where(F.pmod(F.xxhash64(*c), F.lit(parts)) == k)  # noqa: B023, E731
-        shared = spark.sparkContext.broadcast(
-            (
-                {r.word: r.good for r in mine(fixes, "word").toArrow().to_pandas().itertuples()},
-                {r.word: r.n for r in mine(evidence, "word").toArrow().to_pandas().itertuples()},
-                _edge_dict(mine(edges, "doc_id").toArrow()),
-            )
+    if max(n_fix, n_edge, n_known) > most:
+        return _apart(records, fixes, evidence, edges, texts)
+    shared = spark.sparkContext.broadcast(
+        (
+            {r.word: r.good for r in fixes.toArrow().to_pandas().itertuples()},
+            {r.word: r.n for r in evidence.toArrow().to_pandas().itertuples()},
+            _edge_dict(edges.toArrow()),
         )
+    )
 
-        def run(batches, shared=shared):
-            import xxhash
-
-            bad, known, edge = shared.value
-            reader = Reader(bad, known, texts)
-            nothing = frozenset()
-            names: dict[str, set[str]] = {}
-            for batch in batches:
-                out = []
-                for text, doc, name, no in zip(*(batch.column(i).to_pylist() for i in (5, 2, 3, 4)), strict=True):
-                    if not text:
-                        out.append(((), text))
-                        continue
-                    keys = edge.get(doc, nothing)
-                    if reader.untouched(text, keys):
-                        out.append(((), " ".join(text.split()) if texts else None))
-                        continue
-                    base = names.get(name or "")
-                    if base is None:
-                        if len(names) > 5000:
-                            names.clear()
-                        base = names[name or ""] = name_words(name)
-                    noise, fixed = reader.read(text, lambda line, keys=keys: bool(keys) and spark_hash(xxhash, skeleton(line)) in keys, base, no == 0)
-                    out.append((sorted(noise), fixed))
-                if not texts:
-                    some = [i for i, o in enumerate(out) if o[0]]
-                    batch, out = batch.take(pa.array(some, type=pa.int64())), [(out[i][0], None) for i in some]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], type=pa.list_(pa.string())), pa.array([o[1] for o in out], type=pa.string())], names=["rec_table", "rec_id", "noise", "text"])
-
-        now = records.select("rec_table", "rec_id", "doc_id", "name", "para_no", "text").mapInArrow(run, "rec_table string, rec_id long, noise array<string>, text string")
-        result = now if result is None else result.unionByName(now)
-    if parts > 1:
-        result = result.groupBy("rec_table", "rec_id").agg(F.array_distinct(F.flatten(F.collect_set("noise"))).alias("noise"), F.first("text").alias("text"))
-    return result
+    def run(batches):
+        bad, known, edge = shared.value
+        reader = Reader(bad, known, texts)
+        nothing = frozenset()
+        names: dict[str, set[str]] = {}
+        for batch in batches:
+            out = [_one(reader, text, edge.get(doc, nothing), names, name, no) for text, doc, name, no in zip(*(batch.column(i).to_pylist() for i in (5, 2, 3, 4)), strict=True)]
+            yield _result(batch, out, texts)
+
+    return records.select("rec_table", "rec_id", "doc_id", "name", "para_no", "text").mapInArrow(run, RESULT)
+
+
+RESULT = "rec_table string, rec_id long, noise array<string>, text string"
+
+
+def _one(reader: Reader, text: str | None, keys, names: dict[str, set[str]], name: str | None, no: int | None) -> tuple:
+    """The kinds of noise of a record and its repaired text. ``names``: the words of the names met so far."""
+    if not text:
+        return (), text
+    if reader.untouched(text, keys):
+        return (), " ".join(text.split()) if reader.texts else None
+    import xxhash
+
+    base = names.get(name or "")
+    if base is None:
+        if len(names) > 5000:
+            names.clear()
+        base = names[name or ""] = name_words(name)
+    noise, fixed = reader.read(text, lambda line: bool(keys) and spark_hash(xxhash, skeleton(line)) in keys, base, no == 0)
+    return sorted(noise), fixed
+
+
+def _result(batch: pa.RecordBatch, out: list[tuple], texts: bool) -> pa.RecordBatch:
+    if not texts:
+        some = [i for i, o in enumerate(out) if o[0]]
+        batch, out = batch.take(pa.array(some, type=pa.int64())), [(out[i][0], None) for i in some]
+    return pa.RecordBatch.from_arrays([batch.column("rec_table"), batch.column("rec_id"), pa.array([o[0] for o in out], type=pa.list_(pa.string())), pa.array([o[1] for o in out], type=pa.string())], names=["rec_table", "rec_id", "noise", "text"])
+
+
+class Answers(dict):
+    """A part of a dictionary that notes what it is asked beyond the words in ``told``."""
+
+    def __init__(self, values: dict, told: set[str], asked: set[str]):
+        super().__init__(values)
+        self.told, self.asked = told, asked
+
+    def __contains__(self, word) -> bool:
+        if word not in self.told:
+            self.asked.add(word)
+        return super().__contains__(word)
+
+    def get(self, word, default=None):
+        return super().get(word, default) if word in self else default
+
+    def keys(self):
+        return self
+
+    def isdisjoint(self, words) -> bool:
+        return not any([w in self for w in words])
+
+
+def _apart(records: DataFrame, fixes: DataFrame, evidence: DataFrame, edges: DataFrame, texts: bool) -> DataFrame:
+    """clean() without a dictionary in any one place.
+
+    Each record is read with the words it has been told, and notes the others that it asks
+    for; these are joined with the tables, until no record asks for a further word. The last
+    reading has thus had a true answer to every question, as with the whole dictionaries.
+    """
+    facts = materialise(fixes.join(evidence, "word", "full_outer").select("word", "good", "n"))
+    lines = edges.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("keys"))
+    rows = records.select("rec_table", "rec_id", "doc_id", "name", "para_no", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows.join(lines, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc"))
+
+    def outcomes(batch, names):
+        for text, name, no, keys, told in zip(*(batch.column(c).to_pylist() for c in ("text", "name", "para_no", "keys", "told")), strict=True):
+            words, asked = {t["word"] for t in told or ()}, set()
+            bad = Answers({t["word"]: t["good"] for t in told or () if t["good"] is not None}, words, asked)
+            known = Answers({t["word"]: t["n"] for t in told or () if t["n"] is not None}, words, asked)
+            yield _one(Reader(bad, known, texts), text, frozenset(keys or ()), names, name, no), asked
+
+    def ask(batches):
+        names: dict[str, set[str]] = {}
+        for batch in batches:
+            pairs = [(row, w) for row, (_, asked) in zip(batch.column("row").to_pylist(), outcomes(batch, names), strict=True) for w in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], type=pa.int64()), pa.array([w for _, w in pairs], type=pa.string())], names=["row", "word"])
+
+    def run(batches):
+        names: dict[str, set[str]] = {}
+        for batch in batches:
+            yield _result(batch, [o for o, _ in outcomes(batch, names)], texts)
+
+    asked = None
+    while True:
+        if asked is None:
+            state = rows.withColumn("told", F.lit(None).cast("array<struct<word:string,good:string,n:bigint>>"))
+        else:
+            told = asked.join(facts, "word", "left").groupBy("row").agg(F.collect_list(F.struct("word", "good", F.col("n").cast("long").alias("n"))).alias("told"))
+            state = materialise(rows.join(told, "row", "left"))
+        new = materialise(state.mapInArrow(ask, "row long, word string"))
+        if new.isEmpty():
+            return state.mapInArrow(run, RESULT)
+        asked = new if asked is None else asked.unionByName(new)
 
 
 def name_words(name: str | None) -> set[str]:
