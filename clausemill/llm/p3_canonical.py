@@ -162,7 +162,8 @@ def slips(n: int) -> int:
 class Canon:
     """One shard of the entries of one kind: [(label_id, label, aliases)]."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]):
+    def __init__(self, entries: list[tuple[int, str, str | None]], alone: bool = True):
+        self.alone = alone  # no other shard
         self.exact: dict[str, int] = {}
         self.bags: dict[str, set[int]] = {}
         self.initials: dict[str, set[int]] = {}
@@ -194,35 +195,58 @@ class Canon:
                 out.add(label_id)
         return out
 
-    def find(self, value: str) -> tuple[int, int, int]:
-        """(step, edits, label_id); step 9 where nothing is near enough."""
+    def candidates(self, value: str) -> list[tuple[int, int, int]]:
+        """(step, edits, label_id) of all that a step finds, for each step; a shape of two entries here comes with two.
+
+        Whether a shape is of one entry is seen only over all shards (see resolve); later
+        steps are therefore tried unless the value stands as it is.
+        """
         c = clean(value)
         if not c:
-            return 9, 0, 0
+            return []
         forms = turns(c)
-        for f in forms:
+        for place, f in enumerate(forms):
             if f in self.exact:
-                return 0, 0, self.exact[f]
-        b = bag(c)
-        if len(self.bags.get(b, ())) == 1:
-            return 1, 0, next(iter(self.bags[b]))
+                return [(0, place, self.exact[f])]
+        out = [(1, 0, i) for i in sorted(self.bags.get(bag(c), ()))[:2]]
         letters = re.sub(r"[\s.]", "", c)
-        dotted = re.fullmatch(r"(?:\w\.?\s?){2,8}", c) is not None and len(letters) <= 8
-        if dotted and len(self.initials.get(letters, ())) == 1:
-            return 2, 0, next(iter(self.initials[letters]))
+        if re.fullmatch(r"(?:\w\.?\s?){2,8}", c) is not None and len(letters) <= 8:
+            out += [(2, 0, i) for i in sorted(self.initials.get(letters, ()))[:2]]
         if "." in c:
-            found = self.shortened(c)
-            if len(found) == 1:
-                return 3, 0, next(iter(found))
+            out += [(3, 0, i) for i in sorted(self.shortened(c))[:2]]
+        if not self.alone or not settled(out):
+            best = self.spelling(forms)
+            if best:
+                out.append((4, *best))
+        return out
+
+    def spelling(self, forms: list[str]) -> tuple[int, int] | None:
+        """(edits, label_id) of the nearest entry by its spelling."""
         best: tuple[int, int] | None = None
         for f in forms:
             for d, entry in self.tree.within(f, max(allowed(len(f)), 2 * slips(len(f)))):
                 n = min(len(f), len(entry))
                 if (d <= allowed(n) or mistyped(f, entry, slips(n))) and (best is None or (d, self.exact[entry]) < best):
                     best = (d, self.exact[entry])
-        if best:
-            return 4, best[0], best[1]
-        return 9, 0, 0
+        return best
+
+    def find(self, value: str) -> tuple[int, int, int]:
+        """(step, edits, label_id); step 9 where nothing is near enough."""
+        return choose(self.candidates(value))
+
+
+def settled(found: list[tuple[int, int, int]]) -> bool:
+    """Whether a shape among steps 1 to 3 is of one entry."""
+    return any(len({i for s, _, i in found if s == step}) == 1 for step in (1, 2, 3))
+
+
+def choose(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """The first step that decides; a shape of several entries decides nothing."""
+    for step in (0, 1, 2, 3, 4):
+        of = sorted({(e, i) for s, e, i in found if s == step})
+        if of and (step in (0, 4) or len({i for _, i in of}) == 1):
+            return step, of[0][0] if step == 4 else 0, of[0][1]
+    return 9, 0, 0
 
 
 def resolve(values: DataFrame, canon: DataFrame, shard: int = 20_000) -> DataFrame:
@@ -252,16 +276,24 @@ def resolve(values: DataFrame, canon: DataFrame, shard: int = 20_000) -> DataFra
         lists = spark.sparkContext.broadcast(by)
 
         def run(batches, lists=lists):
-            trees = {k: Canon(v) for k, v in lists.value.items()}
+            trees = {k: Canon(v, shards == 1) for k, v in lists.value.items()}
             for batch in batches:
+                if shards > 1:
+                    got = [(k, v, i, s, e) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s, e, i in [*(trees[k].candidates(v) if k in trees else ()), (9, 0, 0)]]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], type=t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["kind", "value", "label_id", "step", "edits"])
+                    continue
                 got = [trees[k].find(v) if k in trees else (9, 0, 0) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([g[i] for g in got], type=pa.int32()) for i in (2, 0, 1))], names=["kind", "value", "label_id", "step", "edits"])
 
         now = distinct.mapInArrow(run, "kind string, value string, label_id int, step int, edits int")
         result = now if result is None else result.unionByName(now)
     if shards > 1:
-        first = F.struct("step", "edits", "label_id")
-        result = result.groupBy("kind", "value").agg(F.min(first).alias("b")).select("kind", "value", "b.label_id", "b.step", "b.edits")
+        # A shape that two shards know is of two entries: it is decided here, over all of them.
+        nearest = F.min(F.struct("edits", "label_id"))
+        steps = result.groupBy("kind", "value", "step").agg(nearest.alias("b"), F.min("label_id").alias("lo"), F.max("label_id").alias("hi"))
+        steps = steps.where("step not in (1, 2, 3) or lo = hi")
+        first = F.struct("step", F.when(F.col("step") == 4, F.col("b.edits")).otherwise(0).alias("edits"), F.col("b.label_id").alias("label_id"))
+        result = steps.groupBy("kind", "value").agg(F.min(first).alias("b")).select("kind", "value", "b.label_id", "b.step", "b.edits")
     return result
 
 
