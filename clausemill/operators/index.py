@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from clausemill.functions.text import tokens
 
 
-def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """One row per key, the last by ``by``; max_by aggregates before the shuffle."""
-    others = [c for c in rows.columns if c != key]
+def latest(rows: DataFrame, key: str, by: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key, the last by ``by``; max_by aggregates before the shuffle.
+
+    Only ``columns`` (all if none are named) are read and shuffled: a plan can't prune a struct by itself.
+    """
+    others = [c for c in columns or rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(by)).alias("r")).select(key, "r.*")
 
 

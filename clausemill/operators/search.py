@@ -49,6 +49,82 @@ def bm25(postings: DataFrame, terms: DataFrame, sizes: DataFrame, key: str = "cl
     return x.groupBy("query_id", "source", key).agg(F.sum(score).alias("score"))
 
 
+def impacts(postings: DataFrame, terms: DataFrame, sizes: DataFrame, key: str = "clause_id") -> DataFrame:
+    """(source, ``key``, token, impact): what each posting of the queries' words adds to BM25, once for all queries."""
+    stats = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avg_len"))
+    hit = postings.join(terms.select("token").distinct(), "token", "left_semi")
+    spread = hit.groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
+    x = hit.join(spread.join(F.broadcast(stats), "source"), ["source", "token"])
+    idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    f = F.col("tf_heading") * WEIGHTS["tf_heading"] + F.col("tf_body") * WEIGHTS["tf_body"]
+    part = F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return x.select("source", key, "token", part.alias("impact"))
+
+
+def _shard_search(shared, key: str, most: int):
+    """The search of one shard: impacts (source, ``key``, token, impact) against the broadcast (query_id, token, weight)."""
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, words, weight = shared.value
+        source = table.column("source")[0].as_py()
+        token = table.column("token").combine_chunks().dictionary_encode()
+        row = table.column(key).combine_chunks().dictionary_encode()
+        order = np.argsort(token.indices.to_numpy(), kind="stable")
+        at, row_of, impact = token.indices.to_numpy()[order], row.indices.to_numpy()[order], table.column("impact").to_numpy()[order]
+        names = np.argsort(np.argsort(row.dictionary.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties go to the lesser key
+        where = pc.index_in(words, token.dictionary)
+        mine = np.flatnonzero(where.is_valid().to_numpy(zero_copy_only=False))
+        word, w = where.take(pa.array(mine)).to_numpy(), weight.to_numpy()[mine].astype(np.float64)
+        query = ids.take(pa.array(mine)).dictionary_encode()
+        by = np.argsort(query.indices.to_numpy(), kind="stable")
+        word, w, q = word[by], w[by], query.indices.to_numpy()[by]
+        start, end = np.searchsorted(at, np.arange(len(token.dictionary))), np.searchsorted(at, np.arange(len(token.dictionary)), "right")
+        edge = np.searchsorted(q, np.arange(len(query.dictionary) + 1))
+        found = []
+        for i in range(len(query.dictionary)):
+            some = range(edge[i], edge[i + 1])
+            rows = np.concatenate([row_of[start[word[j]] : end[word[j]]] for j in some])
+            score = np.bincount(rows, np.concatenate([w[j] * impact[start[word[j]] : end[word[j]]] for j in some]), minlength=len(names))
+            hit = np.flatnonzero(score > 0)
+            value = np.round(score[hit], 12)
+            if len(hit) > most:
+                near = np.flatnonzero(value >= np.partition(value, len(value) - most)[len(value) - most])
+                hit, value = hit[near], value[near]
+                best = np.lexsort((names[hit], -value))[:most]
+                hit, value = hit[best], value[best]
+            found.append((np.full(len(hit), i), hit, value))
+        i, hit, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([query.dictionary.take(pa.array(i)), pa.array([source] * len(i), type=pa.string()), row.dictionary.take(pa.array(hit)), pa.array(value)], names=["query_id", "source", key, "score"])
+
+    return search
+
+
+def best_texts(postings: DataFrame, terms: DataFrame, sizes: DataFrame, most: int, key: str = "clause_id", block: int = 20_000, shard: int = 200_000) -> DataFrame:
+    """(query_id, source, ``key``, score): of bm25()'s rows, scores rounded to 12 digits, at least the ``most`` best of each query and source.
+
+    Rows lie in shards of a source, about ``shard`` rows each; a shard adds the impacts of
+    each query's words and gives its ``most`` best (the higher score, then the lesser
+    key), so that the scores of all pairs are never written anywhere. ``block`` queries
+    are broadcast at a time, one pass over the impacts each. Exact.
+    """
+    spark = postings.sparkSession
+    kinds = [terms.schema["query_id"], postings.schema["source"], postings.schema[key]]
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(("query_id", "source", key), kinds, strict=True)), StructField("score", DoubleType())])
+    parts = materialise(impacts(postings, terms, sizes, key))
+    salts = F.lit(1 + sizes.count() // shard)
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64(key), salts)).repartition(width(parts), "source", "salt")
+    n_queries = terms.select("query_id").distinct().count()
+    blocks = max(1, -(-n_queries // block))
+    result = None
+    for k in range(blocks):
+        t = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).select("query_id", "token", "weight").toArrow()
+        shared = spark.sparkContext.broadcast((t.column(0).combine_chunks(), t.column(1).combine_chunks(), t.column(2).combine_chunks()))
+
+        now = parts.groupBy("source", "salt").applyInArrow(_shard_search(shared, key, most), schema)
+        result = now if result is None else result.unionByName(now)
+    return result
+
+
 def knn(vectors: DataFrame, queries: DataFrame, key: str = "clause_id") -> DataFrame:
     """(query_id, source, ``key``, distance): squared L2 of each row to each query.
 
@@ -188,7 +264,7 @@ def hybrid(queries: DataFrame, post: DataFrame, sizes: DataFrame, vectors: DataF
     words = queries.select("query_id", F.array_sort(tokens(F.col("query"))).alias("words"))
     bags = words.groupBy("words").agg(F.min("query_id").alias("bag"))
     terms = bags.select(F.col("bag").alias("query_id"), F.explode("words").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
-    text = cut(bm25(post, terms, sizes, key), [F.desc(F.round("score", 12))], n, key).withColumnRenamed("query_id", "bag")
+    text = cut(best_texts(post, materialise(terms), sizes, n, key), [F.desc("score")], n, key).withColumnRenamed("query_id", "bag")
     text = text.join(words.join(bags, "words").select("query_id", "bag"), "bag").drop("bag")
     near = cut(nearest(vectors, queries, n, key), [F.asc(F.round("distance", 9))], n, key)
     return rank_hits(fuse([text, near], key), clauses, documents, limit, where, key)

@@ -14,13 +14,13 @@ from clausemill.plans.sql import LIVE, NORM, SQUASH, TITLE, TRIM, family
 from clausemill.session import materialise, read
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses with each clause_id once, as last taken in."""
-    return index.latest(read(spark, sf_dir, "clauses"), "clause_id", "ingested_at")
+def live(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Clauses with each clause_id once, as last taken in; ``columns``: those wanted beside the id (all if none)."""
+    return index.latest(read(spark, sf_dir, "clauses"), "clause_id", "ingested_at", columns)
 
 
 def clause_labels(spark, d):
-    return label.with_clause_type(live(spark, d).select("clause_id", "heading", "body")).select("clause_id", "label")
+    return label.with_clause_type(live(spark, d, "heading", "body").select("clause_id", "heading", "body")).select("clause_id", "label")
 
 
 LABELS = f"""
@@ -31,7 +31,7 @@ select clause_id, case when h <> '' then coalesce({family('nh', T.CLAUSE_FAMILIE
 
 
 def definitions_harvest(spark, d):
-    return segment.definitions(live(spark, d).where("body is not null"), "clause_id", ("doc_id",)).select("clause_id", "doc_id", "line_no", "term", "body")
+    return segment.definitions(live(spark, d, "doc_id", "body").where("body is not null"), "clause_id", ("doc_id",)).select("clause_id", "doc_id", "line_no", "term", "body")
 
 
 HARVEST = rf"""
@@ -42,7 +42,7 @@ select clause_id, doc_id, cast(line_no as int) as line_no, {TRIM('term')} as ter
 
 
 def edges_uses_term(spark, d):
-    return index.uses_term(live(spark, d))
+    return index.uses_term(live(spark, d, "doc_id", "kind", "term", "body"))
 
 
 EDGES = f"""
@@ -53,7 +53,7 @@ from live b join live t on b.doc_id = t.doc_id and b.kind <> 'definition' and t.
 
 def edges_kept(spark, d):
     """Edges left when the clauses of tombstoned documents go."""
-    gone = live(spark, d).join(read(spark, d, "documents").where("deleted").select("doc_id"), "doc_id", "left_semi")
+    gone = live(spark, d, "doc_id").join(read(spark, d, "documents").where("deleted").select("doc_id"), "doc_id", "left_semi")
     return index.drop_edges(read(spark, d, "edges").distinct(), gone)
 
 
@@ -65,7 +65,7 @@ select distinct * from edges where src_clause not in (select clause_id from g) a
 
 def document_objects(spark, d):
     """The objects of each live document in their order."""
-    c = live(spark, d).join(read(spark, d, "documents").where("not deleted").select("doc_id"), "doc_id", "left_semi")
+    c = live(spark, d, "doc_id", "seq", "kind", "number", "heading").join(read(spark, d, "documents").where("not deleted").select("doc_id"), "doc_id", "left_semi")
     return index.order_in(c, ["doc_id"], "seq", "clause_id").select("doc_id", "clause_id", "ord", "kind", "number", "heading")
 
 
@@ -76,7 +76,7 @@ with {LIVE} select doc_id, clause_id, cast(row_number() over (partition by doc_i
 
 def _once(spark, d) -> DataFrame:
     """live() as a table: the depth of the trees is read before the trees are numbered."""
-    return materialise(live(spark, d))
+    return materialise(live(spark, d, "doc_id", "kind", "number", "seq", "depth", "heading", "term", "body"))
 
 
 def numbered(c: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ select clause_id, doc_id, new_number, new_body, coalesce(array_to_string(list_so
 
 
 def definitions_first_wins(spark, d):
-    defs = live(spark, d).where("kind = 'definition' and term is not null")
+    defs = live(spark, d, "doc_id", "source", "kind", "term", "seq", "body").where("kind = 'definition' and term is not null")
     return tree.first_wins(defs, ["source", "term"], "doc_id", "seq", "clause_id").select("source", "term", "clause_id", "body")
 
 
@@ -125,7 +125,7 @@ with {LIVE} select source, term, clause_id, body from (select *, row_number() ov
 
 
 def schedules_folded(spark, d):
-    return tree.fold_schedules(live(spark, d))
+    return tree.fold_schedules(live(spark, d, "doc_id", "kind", "seq", "heading", "body"))
 
 
 SCHEDULES = f"""
@@ -137,7 +137,7 @@ select doc_id, cast(schedule_no as bigint) as schedule_no, coalesce(nullif(h, ch
 
 
 def recitals(spark, d):
-    return assemble.recitals(live(spark, d)).select("clause_id", "doc_id", "body")
+    return assemble.recitals(live(spark, d, "doc_id", "kind", "heading", "body")).select("clause_id", "doc_id", "body")
 
 
 RECITALS = f"""
@@ -152,12 +152,12 @@ def _templates(c: DataFrame) -> DataFrame:
 
 
 def variable_substitution(spark, d):
-    t = _templates(live(spark, d))
+    t = _templates(live(spark, d, "source", "number", "body"))
     return t.select("clause_id", substitute(F.col("t"), F.create_map(F.lit("source"), F.col("source"))).alias("text"))
 
 
 def unresolved_variables(spark, d):
-    t = _templates(live(spark, d))
+    t = _templates(live(spark, d, "source", "number", "body"))
     return t.select("clause_id", F.array_join(placeholders(F.col("t")), "|").alias("names"))
 
 
@@ -167,7 +167,7 @@ UNRES = rf"with {LIVE}, {_TPL} select clause_id, coalesce(array_to_string(list_f
 
 
 def terms_in_clauses(spark, d):
-    c = live(spark, d)
+    c = live(spark, d, "doc_id", "kind", "term", "body")
     table = c.where("kind = 'definition' and term is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     return c.where("kind != 'definition'").join(table, "doc_id").select("clause_id", F.array_join(terms_used(F.coalesce("body", F.lit("")), F.col("terms")), "|").alias("terms"))
 
@@ -179,7 +179,7 @@ select clause_id, coalesce(array_to_string(list_filter(terms, lambda x: octet_le
 
 
 def missing_required(spark, d):
-    c = label.with_clause_type(live(spark, d).select("doc_id", "heading", "body"), "clause_type").select("doc_id", "clause_type").where("clause_type is not null")
+    c = label.with_clause_type(live(spark, d, "doc_id", "heading", "body").select("doc_id", "heading", "body"), "clause_type").select("doc_id", "clause_type").where("clause_type is not null")
     types = read(spark, d, "documents").select("doc_id", F.col("contract_type"), label.contract_type(F.coalesce("contract_type", F.lit("")), F.lit("")).alias("t"))
     types = types.select("doc_id", F.coalesce("t", "contract_type").alias("contract_type")).where("contract_type is not null")
     return assemble.missing_required(c, assemble.rule_rows(spark), types)
@@ -203,7 +203,7 @@ def checklist_order(spark, d):
     """The place of every canonical clause label in each contract type's order."""
     rows = [(ct, t, assemble.order_index(ct, t)) for ct in [*T.CHECKLISTS, "Something Else"] for t in [*T.GENERIC_ORDER, "Something Else"]]
     places = spark.createDataFrame(rows, "contract_type string, clause_type string, order_index int")
-    n = label.with_clause_type(live(spark, d).select("heading", "body"), "clause_type").groupBy("clause_type").agg(F.count(F.lit(1)).alias("clauses"))
+    n = label.with_clause_type(live(spark, d, "heading", "body").select("heading", "body"), "clause_type").groupBy("clause_type").agg(F.count(F.lit(1)).alias("clauses"))
     return places.join(n, "clause_type").select("contract_type", "clause_type", "order_index", "clauses")
 
 
@@ -239,7 +239,7 @@ select spec_id, doc_id, source, exact, clause_count, round(score, 6) as score fr
 
 def excluded_roots(spark, d):
     """What is left when trees with two labels at their root go."""
-    rows = tree.effective_depth(live(spark, d).where(~F.col("kind").isin(*OPERATIVE)), order=("seq", "clause_id"))
+    rows = tree.effective_depth(live(spark, d, "doc_id", "kind", "seq", "depth", "clause_type", "heading").where(~F.col("kind").isin(*OPERATIVE)), order=("seq", "clause_id"))
     return assemble.exclude_roots(rows, ["Health and Safety", "Early Exit"]).select("clause_id", "doc_id", "eff")
 
 
@@ -310,7 +310,7 @@ COUNTS = f"select doc_id, count(*) filter (severity = 'error') as errors, count(
 
 def foreign_parties(spark, d):
     """Company-like names in clauses that aren't in the document's title."""
-    c = live(spark, d)
+    c = live(spark, d, "doc_id", "seq", "body")
     texts = c.select("doc_id", F.struct("seq", "clause_id").alias("place"), F.concat(F.lit("object "), F.col("clause_id").cast("string")).alias("location"), F.col("body").alias("text"))
     parties = read(spark, d, "documents").where("title is not null").select("doc_id", F.col("title").alias("name"))
     return validate.foreign_parties(texts, parties)
@@ -318,7 +318,7 @@ def foreign_parties(spark, d):
 
 def term_hashes(spark, d):
     """FNV-1a of every distinct word of the headings, with its bucket of 256 and sign."""
-    w = live(spark, d).select(F.explode(tokens(F.coalesce("heading", F.lit("")))).alias("token")).distinct().withColumn("h", fnv1a64(F.col("token")))
+    w = live(spark, d, "heading").select(F.explode(tokens(F.coalesce("heading", F.lit("")))).alias("token")).distinct().withColumn("h", fnv1a64(F.col("token")))
     return w.select("token", F.col("h").cast("string").alias("hash"), (F.col("h") % 256).cast("int").alias("bucket"), (F.floor(F.col("h") / F.lit(4294967296).cast("decimal(11,0)")) % 2).cast("int").alias("negative"))
 
 

@@ -20,8 +20,8 @@ def _queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEXTS), "query_id long, query string")
 
 
-def _tables(spark, d):
-    c = materialise(live(spark, d))  # the index's clause table: deduplicated once, read by each branch
+def _tables(spark, d, *columns):
+    c = materialise(live(spark, d, "source", "heading", "body", *columns))  # the index's clause table: deduplicated once, read by each branch
     return c, index.postings(c), index.sizes(c)
 
 
@@ -91,7 +91,7 @@ def _seeds(spark, d, c):
 
 
 def _hybrid(spark, d, where=None, limit=10):
-    c, _, sizes = _tables(spark, d)
+    c, _, sizes = _tables(spark, d, "doc_id", "rel_path", "kind", "term", "approved")
     # One shuffle of the texts by row serves the postings and the sums over them.
     post = index.postings(c.repartition(search.width(c), "source", "clause_id"))
     vectors, queries = _seeds(spark, d, c)
@@ -111,7 +111,7 @@ def approved_boost_filter(spark, d):
 
 
 _FUSED = rf"""
-qs as (select clause_id as query_id, coalesce(heading, term, '') as query, v.embedding as q from live join (select clause_id, any_value(embedding) as embedding from clause_vec where embed_model = '{MODEL}' and embedding is not null group by 1) v using (clause_id) where clause_id % 500 = 0), {_BM25},
+qs as (select clause_id as query_id, coalesce(heading, term, '') as query, v.embedding as q from live join (select clause_id, any_value(embedding) as embedding from clause_vec where embed_model = '{MODEL}' and embedding is not null group by 1) v using (clause_id) where clause_id % 50 = 0), {_BM25},
 vx as (select clause_id, any_value(embedding) as e from clause_vec where embed_model = '{MODEL}' and embedding is not null group by 1),
 kn as (select query_id, live.source, clause_id, round(list_sum(list_transform(list_zip(e, q), lambda s: (cast(s[1] as double) - cast(s[2] as double)) * (cast(s[1] as double) - cast(s[2] as double)))), 9) as distance from vx join live using (clause_id), qs),
 rk as (select query_id, source, clause_id, row_number() over (partition by query_id, source order by score desc, clause_id) as r from bm union all select query_id, source, clause_id, row_number() over (partition by query_id, source order by distance, clause_id) from kn),
@@ -124,15 +124,16 @@ BOOST = f"with {POST}, {_FUSED} select query_id, cast(place as int) as place, so
 
 
 def expand_one_hop(spark, d):
-    """Neighbours, one edge away, of the clauses whose id is divisible by 50."""
-    c = live(spark, d)
-    hits = c.where("clause_id % 50 = 0").select(F.lit(1).cast("long").alias("query_id"), "clause_id")
-    return search.expand(hits, read(spark, d, "edges"), c, read(spark, d, "documents"), 1_000_000_000).select("query_id", "clause_id", "doc_id", "score")
+    """The first five neighbours, one edge away, of each clause whose id is divisible by 50, each a query of its own."""
+    c = live(spark, d, "doc_id", "source")
+    hits = c.where("clause_id % 50 = 0").select(F.col("clause_id").alias("query_id"), "clause_id")
+    return search.expand(hits, read(spark, d, "edges"), c, read(spark, d, "documents"), 5).select("query_id", "place", "clause_id", "doc_id", "score")
 
 
 EXPAND = f"""
-with {LIVE} select distinct cast(1 as bigint) as query_id, clause_id, doc_id, cast(0.0 as double) as score from edges join live on clause_id = dst_clause join documents using (doc_id)
-where src_clause % 50 = 0 and src_clause in (select clause_id from live) and clause_id % 50 <> 0 and not deleted
+with {LIVE}, n as (select distinct src_clause as query_id, clause_id, doc_id from edges join live on clause_id = dst_clause join documents using (doc_id)
+where src_clause % 50 = 0 and src_clause in (select clause_id from live) and clause_id <> src_clause and not deleted)
+select query_id, cast(place as int) as place, clause_id, doc_id, cast(0.0 as double) as score from (select *, row_number() over (partition by query_id order by clause_id) as place from n) where place <= 5
 """
 
 
@@ -151,7 +152,7 @@ def hash_embedding(spark, d):
     """Hashed 256-dimensional embedding of every clause."""
     from clausemill.operators.segment import embedding_text
 
-    c = live(spark, d).select("clause_id", embedding_text(F.col("heading"), F.col("term"), F.col("body")).alias("t"))
+    c = live(spark, d, "heading", "term", "body").select("clause_id", embedding_text(F.col("heading"), F.col("term"), F.col("body")).alias("t"))
     return index.embed(c, "clause_id", "t")
 
 
