@@ -9,14 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import tokens
+from clausemill.session import width
 
 
 def latest(rows: DataFrame, key: str, by: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per key, the last by ``by``; max_by aggregates before the shuffle.
 
     Only ``columns`` (all if none are named) are read and shuffled: a plan can't prune a struct by itself.
+    What follows is dear a row (patterns over texts), so adaptive execution mustn't join the parts by their bytes.
     """
     others = [c for c in columns or rows.columns if c != key]
+    rows = rows.select(key, *dict.fromkeys([*others, by])).repartition(width(rows.sparkSession), key)
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(by)).alias("r")).select(key, "r.*")
 
 

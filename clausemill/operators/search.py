@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clausemill.functions.text import tokens
-from clausemill.session import materialise
+from clausemill.session import materialise, width
 
 RRF_K = 60
 BOOST = 1.5
@@ -38,7 +38,7 @@ def bm25(postings: DataFrame, terms: DataFrame, sizes: DataFrame, key: str = "cl
     queries' words are read on; the words are few and broadcast by the planner.
     """
     stats = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avg_len"))
-    hit = postings.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
+    hit = materialise(postings.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi"))  # read twice, made once
     spread = hit.groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
     # Only the queries' words are broadcast: postings that lie together by row are multiplied and summed where they are.
     x = hit.join(F.broadcast(spread.join(stats, "source").join(terms, "token")), ["source", "token"])
@@ -52,7 +52,7 @@ def bm25(postings: DataFrame, terms: DataFrame, sizes: DataFrame, key: str = "cl
 def impacts(postings: DataFrame, terms: DataFrame, sizes: DataFrame, key: str = "clause_id") -> DataFrame:
     """(source, ``key``, token, impact): what each posting of the queries' words adds to BM25, once for all queries."""
     stats = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avg_len"))
-    hit = postings.join(terms.select("token").distinct(), "token", "left_semi")
+    hit = materialise(postings.join(terms.select("token").distinct(), "token", "left_semi"))  # read twice, made once
     spread = hit.groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
     x = hit.join(spread.join(F.broadcast(stats), "source"), ["source", "token"])
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -112,7 +112,7 @@ def best_texts(postings: DataFrame, terms: DataFrame, sizes: DataFrame, most: in
     schema = StructType([*(StructField(n, f.dataType) for n, f in zip(("query_id", "source", key), kinds, strict=True)), StructField("score", DoubleType())])
     parts = materialise(impacts(postings, terms, sizes, key))
     salts = F.lit(1 + sizes.count() // shard)
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64(key), salts)).repartition(width(parts), "source", "salt")
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64(key), salts)).repartition(width(spark), "source", "salt")
     n_queries = terms.select("query_id").distinct().count()
     blocks = max(1, -(-n_queries // block))
     result = None
@@ -136,11 +136,6 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str = "clause_id") -> DataF
     return v.join(F.broadcast(q), F.size("v") == F.size("q")).select("query_id", "source", key, d.alias("distance"))
 
 
-def width(df: DataFrame) -> int:
-    """Partitions of a shuffle that adaptive execution mustn't join."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, most: int, key: str = "clause_id", block: int = 20_000) -> DataFrame:
     """(query_id, source, ``key``, distance): of knn()'s rows at least the ``most`` nearest of each query and source.
 
@@ -154,7 +149,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int, key: str = "claus
     v = materialise(vectors.where("embedding is not null").select("source", key, F.col("embedding").cast("array<double>").alias("v")))
     q = materialise(queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q")))
     # A source's rows together, so that little more than ``most`` of each leaves the workers; large sources are split.
-    v = v.repartition(width(v), "source", F.pmod(F.xxhash64(key), F.lit(1 + v.count() // 1_000_000))).sortWithinPartitions("source")
+    v = v.repartition(width(spark), "source", F.pmod(F.xxhash64(key), F.lit(1 + v.count() // 1_000_000))).sortWithinPartitions("source")
     blocks = max(1, -(-q.count() // block))
     result = None
     for k in range(blocks):
@@ -264,7 +259,7 @@ def hybrid(queries: DataFrame, post: DataFrame, sizes: DataFrame, vectors: DataF
     words = queries.select("query_id", F.array_sort(tokens(F.col("query"))).alias("words"))
     bags = words.groupBy("words").agg(F.min("query_id").alias("bag"))
     terms = bags.select(F.col("bag").alias("query_id"), F.explode("words").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
-    text = cut(best_texts(post, materialise(terms), sizes, n, key), [F.desc("score")], n, key).withColumnRenamed("query_id", "bag")
+    text = cut(best_texts(post, materialise(terms), materialise(sizes), n, key), [F.desc("score")], n, key).withColumnRenamed("query_id", "bag")
     text = text.join(words.join(bags, "words").select("query_id", "bag"), "bag").drop("bag")
     near = cut(nearest(vectors, queries, n, key), [F.asc(F.round("distance", 9))], n, key)
     return rank_hits(fuse([text, near], key), clauses, documents, limit, where, key)

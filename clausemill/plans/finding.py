@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.operators import index, prompt, search
 from clausemill.plans.clauses import live
 from clausemill.plans.sql import LIVE
-from clausemill.session import materialise, read, scratch
+from clausemill.session import materialise, read, scratch, width
 from clausemill.streaming import watch
 
 #: A stated set of text queries.
@@ -93,7 +93,7 @@ def _seeds(spark, d, c):
 def _hybrid(spark, d, where=None, limit=10):
     c, _, sizes = _tables(spark, d, "doc_id", "rel_path", "kind", "term", "approved")
     # One shuffle of the texts by row serves the postings and the sums over them.
-    post = index.postings(c.repartition(search.width(c), "source", "clause_id"))
+    post = index.postings(c.repartition(width(spark), "source", "clause_id"))
     vectors, queries = _seeds(spark, d, c)
     queries = materialise(queries)
     return search.hybrid(queries, post, sizes, vectors, c, read(spark, d, "documents"), limit, where)

@@ -15,10 +15,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions of a shuffle that adaptive execution mustn't join."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (as in tests, on one machine) a temporary folder is used.
+    Only where that is unset and the session runs on one machine (as in tests) a temporary
+    folder is used; on a cluster a folder of one machine would lose rows, so that is refused.
     """
     ctx = spark.sparkContext
     at = ctx.getCheckpointDir() if hasattr(ctx, "getCheckpointDir") else None
@@ -26,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at
     conf = ctx.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not ctx.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="clausemill-")
     ctx.setCheckpointDir(conf)
     return ctx.getCheckpointDir() or conf
