@@ -3,9 +3,9 @@
 The history is a table that only grows: of each accepted document its bare hash, and of
 its file name the distances to a few fixed pivot names. A new row can be within the
 radius of an old one only if every pivot distance differs by at most the radius; the
-first distance is cut into ranges that meet by an equi-join with their neighbours, the
-others prune, and what is left is verified by the true distance and by the texts.
-Accepted rows are appended; no batch is read again.
+first two distances are cut into ranges that meet by an equi-join with their neighbours,
+all prune, and what is left is verified by the true distance and by the texts. Accepted
+rows are appended with their distances; a later session opens the history and goes on.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.p3_canonical import distance, mistyped
 from clausemill.llm.shingles import shingle_sets
-from clausemill.session import materialise, read, scratch
+from clausemill.session import materialise, read, scratch, width
 
 #: Month names, and marks of copies and versions at a file name's ends.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -101,90 +101,151 @@ def overlapping(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def near_names(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, la, lb, ma, mb) whose names differ by mistyped letters at most."""
+    """(a, b, bucket) of the pairs (a, b, bucket, la, lb, ma, mb) whose names differ by mistyped letters at most."""
 
     def run(batches):
         for batch in batches:
             col = {n: batch.column(n).to_pylist() for n in ("la", "lb", "ma", "mb")}
             ok = [i for i in range(batch.num_rows) if not (col["ma"][i] and col["mb"][i] and col["ma"][i] != col["mb"][i]) and mistyped(col["la"][i], col["lb"][i], MISTYPED)]
             take = pa.array(ok, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(n).take(take) for n in ("a", "b", "bucket")], names=["a", "b", "bucket"])
 
-    return pairs.select("a", "b", "la", "lb", "ma", "mb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "bucket", "la", "lb", "ma", "mb").mapInArrow(run, "a long, b long, bucket int")
 
 
 class History:
-    """The accepted documents: an append-only table of names, hashes and pivot distances in the shared folder.
-
-    Rows are appended batch by batch; what a batch's check refused is kept beside them,
-    so that history is the rows of earlier batches without the refused. Texts lie in a
-    table of their own and are read for pairs of near names only.
+    """The accepted documents, in a folder that outlives the session: what a new batch is held against.
+
+    ``pivots`` and ``meta`` are written once. ``entries`` grows by the accepted rows of each batch: the bare
+    hash, the parts of the file name, its distances to the pivots, and the ranges of the first two, by which
+    rows are joined. ``texts`` grows by their texts, in files that lie by ``bucket`` (of source and numbers), so
+    that a batch reads the buckets of its near names only. ``links`` holds what each batch's check found.
+    Every folder holds one subfolder a batch; ``done`` names the batches appended whole. What a batch that was
+    broken off has left is deleted when it is appended again.
     """
 
-    def __init__(self, spark: SparkSession, at: str, marks: list[str], least: float = 0.5, most: int = 200_000):
-        self.spark, self.at, self.marks, self.least, self.most = spark, at, marks, least, most
-        self.checked = 0
-
-    def distances(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the distances of their letters to the pivots, and the range of the first."""
-        for i, p in enumerate(self.marks):
-            rows = rows.withColumn(f"d{i}", F.levenshtein("letters", F.lit(p)))
-        return rows.withColumn("range", (F.col("d0") / (RADIUS + 1)).cast("int"))
-
-    def accepted(self, rows: DataFrame, before: int) -> DataFrame:
-        old = rows.where(F.col("batch_no") < before)
-        if not self.checked:
-            return old
-        return old.join(self.links().select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    ENTRIES = "doc_id long, source string, hash string, numbers string, letters string, month string, d0 int, d1 int, d2 int, r0 int, r1 int, bucket int"
+    BUCKETS = 1024
+    PIVOTS = 3
+
+    def __init__(self, spark: SparkSession, at: str, marks: list[str], least: float, most_bytes: int = 64 << 20):
+        self.spark, self.at, self.marks, self.least, self.most_bytes = spark, at, marks, least, most_bytes
+
+    @classmethod
+    def create(cls, spark: SparkSession, at: str, first: DataFrame, least: float = 0.5, sample: int = 256) -> History:
+        """A new history in ``at``; its pivots come from at most ``sample`` names of ``first`` (describe()'s rows of a batch)."""
+        some = first.select("letters").where("letters != ''").orderBy(F.xxhash64("letters"), "letters").limit(sample)
+        marks = pivots([r.letters for r in some.collect()], cls.PIVOTS)
+        spark.createDataFrame(list(enumerate(marks)), "place int, letters string").coalesce(1).write.parquet(f"{at}/pivots")
+        spark.createDataFrame([(least,)], "least double").write.parquet(f"{at}/meta")
+        return cls(spark, at, marks, least)
+
+    @classmethod
+    def open(cls, spark: SparkSession, at: str) -> History:
+        """The history in ``at``, of this or an earlier session."""
+        marks = [r.letters for r in spark.read.parquet(f"{at}/pivots").orderBy("place").collect()]
+        return cls(spark, at, marks, spark.read.parquet(f"{at}/meta").first().least)
+
+    def _folder(self, name: str, what: str = "mkdirs") -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return files.delete(path, True) if what == "delete" else getattr(files, what)(path)
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        """The rows of all batches so far."""
+        if not self._folder(name, "exists"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.at}/{name}")
 
     def links(self) -> DataFrame:
         """(a, b): accepted document and refused document, of all batches so far."""
-        return self.spark.read.schema("a long, b long").option("recursiveFileLookup", "true").parquet(f"{self.at}/pairs")
-
-    def check(self, rows: DataFrame, number: int, texts: DataFrame) -> None:
-        """Hold the batch ``number`` of ``rows`` against the accepted rows before it, and append what it finds."""
-        n = len(self.marks)
-        old, batch = self.accepted(rows, number), rows.where(F.col("batch_no") == number)
-        named = old.where("source is not null and letters is not null").select(F.col("doc_id").alias("a"), "source", "numbers", F.explode(F.array(*(F.col("range") + i for i in (-1, 0, 1)))).alias("range"), F.col("letters").alias("la"), F.col("month").alias("ma"), *(F.col(f"d{i}").alias(f"o{i}") for i in range(n)))
-        new = batch.where("source is not null").select(F.col("doc_id").alias("b"), "source", "numbers", "range", F.col("letters").alias("lb"), F.col("month").alias("mb"), *(f"d{i}" for i in range(n)))
-        near = new.join(named, ["source", "numbers", "range"])
-        for i in range(n):
-            near = near.where(F.abs(F.col(f"d{i}") - F.col(f"o{i}")) <= RADIUS)
-        near = materialise(near_names(near.where("a != b")))
-        side = F.broadcast(near) if near.count() <= self.most else near
-        ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        half = ta.join(side, "a")
-        both = tb.join(F.broadcast(half) if side is not near else half, "b")
-        same = batch.where("hash is not null").select(F.col("doc_id").alias("b"), "hash").join(old.where("hash is not null").select(F.col("doc_id").alias("a"), "hash"), "hash").select("a", "b")
-        same.where("a != b").unionByName(overlapping(both, self.least)).dropDuplicates().write.parquet(f"{self.at}/pairs/{number}")
-        self.checked += 1
-
-
-def repeats(docs: DataFrame, least: float = 0.5, sample: int = 256, most: int = 1_000_000) -> DataFrame:
+        return self.table("links", "a long, b long")
+
+    def measured(self, rows: DataFrame) -> DataFrame:
+        """describe()'s rows with the distances of their letters to the pivots, their ranges and bucket."""
+        for i, p in enumerate(self.marks):
+            rows = rows.withColumn(f"d{i}", F.levenshtein(F.coalesce("letters", F.lit("")), F.lit(p)))
+        for i in (0, 1):
+            rows = rows.withColumn(f"r{i}", (F.col(f"d{i}") / (RADIUS + 1)).cast("int"))
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("source", "numbers"), F.lit(self.BUCKETS)).cast("int"))
+
+    def near(self, batch: DataFrame) -> DataFrame:
+        """(a, b, bucket): accepted rows and rows of ``batch`` whose names differ by mistyped letters at most.
+
+        The batch goes into the nine neighbouring ranges of its first two distances, so that the history's rows are
+        read as they lie, each once; only ranges that the batch touches are read.
+        """
+        around = F.array(*(F.struct((F.col("r0") + i).alias("r0"), (F.col("r1") + j).alias("r1")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        named = batch.where("source is not null")
+        new = named.select(F.col("doc_id").alias("b"), "source", "numbers", F.inline(around), F.col("letters").alias("lb"), F.col("month").alias("mb"), *(F.col(f"d{i}").alias(f"n{i}") for i in range(self.PIVOTS)))
+        ends = named.agg(F.min("r0"), F.max("r0"), F.min("r1"), F.max("r1")).first()
+        if ends[0] is None:
+            return self.spark.createDataFrame([], "a long, b long, bucket int")
+        old = self.table("entries", self.ENTRIES).where(F.col("source").isNotNull() & F.col("r0").between(ends[0] - 1, ends[1] + 1) & F.col("r1").between(ends[2] - 1, ends[3] + 1))
+        old = old.select(F.col("doc_id").alias("a"), "source", "numbers", "r0", "r1", "bucket", F.col("letters").alias("la"), F.col("month").alias("ma"), *(f"d{i}" for i in range(self.PIVOTS)))
+        near = new.join(old, ["source", "numbers", "r0", "r1"]).where("a != b")
+        for i in range(self.PIVOTS):
+            near = near.where(F.abs(F.col(f"d{i}") - F.col(f"n{i}")) <= RADIUS)
+        return near_names(near)
+
+    def check(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b): the accepted rows that rows of ``batch`` (measured()'s) repeat. ``texts``: (doc_id, text) of the batch."""
+        near = materialise(self.near(batch))
+        touched, n = near.agg(F.collect_set("bucket"), F.count(F.lit(1))).first()  # at most BUCKETS numbers
+        hashes = self.table("entries", self.ENTRIES).where("hash is not null").select(F.col("doc_id").alias("a"), "hash")
+        same = batch.where("hash is not null").select(F.col("doc_id").alias("b"), "hash").join(hashes, "hash").where("a != b").select("a", "b")
+        if not touched:
+            return same.dropDuplicates()
+        tb = texts.join(near.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        ta = self.table("texts", "bucket int, doc_id long, text string").where(F.col("bucket").isin(touched)).select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+        pairs = near.select("a", "b")
+        # Two numbers a pair, counted before they are broadcast; texts are never broadcast by this.
+        side = F.broadcast(pairs) if n * 16 <= self.most_bytes else pairs
+        both = ta.join(side, "a").join(tb, "b")
+        return same.unionByName(overlapping(both, self.least)).dropDuplicates()
+
+    def append(self, docs: DataFrame, number: int) -> DataFrame:
+        """Check a batch of documents and append its accepted rows; returns (a, b) found for it.
+
+        ``docs``: doc_id, source, rel_path, content_hash, text. Nothing that earlier batches brought is described
+        or measured again. A batch number that was appended before is refused.
+        """
+        if self._folder(f"done/batch={number}", "exists"):
+            raise ValueError(f"batch {number} is in the history already")
+        for name in ("links", "entries", "texts"):
+            self._folder(f"{name}/batch={number}", "delete")
+        names = docs.withColumn("batch_no", F.lit(number))
+        batch = materialise(self.measured(describe(names)).dropDuplicates(["doc_id"]))
+        texts = docs.where("text is not null").select("doc_id", "text")
+        out = f"{self.at}/%s/batch={number}"
+        self.check(batch, texts).write.parquet(out % "links")
+        found = self.spark.read.schema("a long, b long").parquet(out % "links")
+        kept = batch.join(found.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        columns = [c.split()[0] for c in self.ENTRIES.split(", ")]
+        kept.select(*columns).sortWithinPartitions("r0", "r1").write.parquet(out % "entries")
+        text = texts.join(kept.where("source is not null").select("doc_id", "bucket"), "doc_id").dropDuplicates(["doc_id"])
+        text.select("bucket", "doc_id", "text").repartitionById(width(self.spark), (F.col("bucket") * width(self.spark) / self.BUCKETS).cast("int")).sortWithinPartitions("bucket").write.parquet(out % "texts")
+        self._folder(f"done/batch={number}")
+        return found
+
+
+def repeats(docs: DataFrame, least: float = 0.5, sample: int = 256, at: str | None = None) -> DataFrame:
     """(doc_a < doc_b): each refused document with each accepted document that it repeats.
 
-    Batches are taken in order of ``batch_no``; documents of one batch aren't held
-    against one another; refused documents don't serve as history. A null id or batch is
-    left out; a null or unreadable hash equals none; null and empty texts overlap none;
-    a null source is no source; repeated rows count once. Other columns are ignored. Texts
-    are kept only of documents whose source and numbers in the name occur twice; the keys
-    are broadcast up to ``most``, joined beyond.
+    Batches are taken in order of ``batch_no`` and appended to one new History (in ``at``, a scratch folder by
+    default); documents of one batch aren't held against one another; refused documents don't serve as history. A
+    null id or batch is left out; a null or unreadable hash equals none; null and empty texts overlap none; a null
+    source is no source; repeated rows count once. Other columns are ignored.
     """
     spark = docs.sparkSession
-    at = scratch(spark, "history")
-    rows = materialise(describe(docs))
-    first = rows.select("letters").where("letters != ''").orderBy(F.xxhash64("letters"), "letters").limit(sample)
-    history = History(spark, at, pivots([r.letters for r in first.collect()]), least)
-    keys = rows.where("source is not null").groupBy("source", "numbers").agg(F.min("doc_id").alias("i"), F.max("doc_id").alias("j")).where("i < j")
-    some = materialise(rows.join(keys.select("source", "numbers"), ["source", "numbers"], "left_semi").select("doc_id").distinct())
-    kept = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some) if some.count() <= most else some, "doc_id", "left_semi")
-    texts = materialise(kept)
-    table = materialise(history.distances(rows.dropDuplicates(["doc_id"])))
-    for n in sorted(r.batch_no for r in table.select("batch_no").distinct().collect())[1:]:
-        history.check(table, n, texts)
-    out = history.links() if history.checked else spark.createDataFrame([], "a long, b long")
-    return out.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).dropDuplicates()
+    docs = docs.select("doc_id", "batch_no", "source", "rel_path", "content_hash", "text").where("doc_id is not null and batch_no is not null")
+    numbers = sorted(r.batch_no for r in docs.select("batch_no").distinct().collect())
+    if not numbers:
+        return spark.createDataFrame([], "doc_a long, doc_b long")
+    history = History.create(spark, at or scratch(spark, "history"), describe(docs.where(F.col("batch_no") == numbers[0])), least, sample)
+    for n in numbers:
+        history.append(docs.where(F.col("batch_no") == n), n)
+    return history.links().select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).dropDuplicates()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

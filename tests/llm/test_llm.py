@@ -2,6 +2,7 @@
 
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -238,6 +239,34 @@ def test_history_random(spark):
     assert {(r.doc_a, r.doc_b) for r in p4.repeats(df).collect()} == want
 
 
+def test_history_goes_on(spark, tmp_path):
+    """A history that a later session opens gives what one run over all batches gives; refused rows aren't appended."""
+    rng = random.Random(21)
+    texts = [text(rng, 50) for _ in range(6)]
+    rows = [(i, i % 4, "s" if i % 3 else None, f"Lease {i % 6} Alpha{rng.choice(['', ' - Copy', '_rev B'])}.pdf", rng.choice([None, f"{i % 9:032x}"]), rng.choice([texts[i % 6], None, ""])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, batch_no int, source string, rel_path string, content_hash string, text string")
+    want = {(r.doc_a, r.doc_b) for r in p4.repeats(df).collect()}
+    at, batch = f"{tmp_path}/h", lambda n: df.where(F.col("batch_no") == n)
+    first = p4.History.create(spark, at, p4.describe(batch(0)))
+    for n in (0, 1):
+        first.append(batch(n), n)
+    later = p4.History.open(spark, at)
+    assert later.marks == first.marks
+    old = later.table("entries", later.ENTRIES).count()
+    for n in (2, 3):
+        found = later.append(batch(n), n)
+        now = later.table("entries", later.ENTRIES).count()
+        assert now - old == 15 - found.select("b").distinct().count()
+        old = now
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in later.links().collect()} == want and want
+    with pytest.raises(ValueError, match="already"):
+        later.append(batch(3), 3)
+    shutil.rmtree(f"{at}/done/batch=3")  # as if broken off: the batch is taken again, with the same result
+    later.append(batch(3), 3)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in later.links().collect()} == want
+    assert later.append(batch(3).limit(0), 9).count() == 0
+
+
 # --- p5 ---------------------------------------------------------------------------------------
 
 
