@@ -4,8 +4,10 @@ Words are counted over all records. Each word meets, by an equi-join on anagram
 words from which it differs by a known confusion of characters: the difference of two
 anagram hashes is the same for every word with that confusion. A rare word with a much more
 frequent variant is a misreading, ranked by the variant's frequency. Running headers are
-lines at a page's edge that come back within a file, page numbers have their few shapes, and
-a hyphen at a line's end is held against the counts of the joined and the hyphenated word.
+lines set like titles that come back within a file; the words that such lines carry beside
+names, in many files, are learned from them (no list of words is given). Page numbers have
+their few shapes, and a hyphen at a line's end is held against the counts of the joined and
+the hyphenated word.
 """
 
 from __future__ import annotations
@@ -42,14 +44,12 @@ PREVIOUS = re.compile(r"(?<!\S)([^\W\d_]{2,}[,;:]?)\Z")
 NEXT = re.compile(r"\w? +([^\W\d_]+)")
 ROMANS = frozenset(r for t in ("", "x", "xx", "xxx", "xl", "l") for u in ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix") if (r := t + u))
 NUMBERS = ROMANS | {str(i) for i in range(1000)}
-#: What a header holds, misread or not, for a first quick look; and a run of its words inside a line.
-MARKER = re.compile(r"—|\s/\s|p.{1,3}vat.{1,3}and|f.{1,4}\s+c.{1,2}py|dr.{1,2}ft\s+.{1,2}\s", re.I)
+#: A capitalised word of a header's run, misread or not.
 CAPS = r"(?:\(?[^\W\d_a-zß-öø-ÿ][^\s]*|\(?[0165|!](?=[A-Z])[^\s]*)"
-RUN = re.compile(rf"(?<!\S){CAPS}(?:\s+(?:{CAPS}|(?:of|for|and|0f|f0r|an|copy|c0py|—|/)(?!\S)))*", re.UNICODE)
+#: Two words in a row that begin small: no title has them.
+PROSE = re.compile(r"(?:^|\s)[a-zß-öø-ÿ][^\s]*\s+[a-zß-öø-ÿ]")
 SPLITTER = str.maketrans({c: " " for c in ".,;:()[]{}“”\"'’‘«»—–/~?*+=<>§•·_&%$€#@\\"})
 ASCII_LOWER = bytes(32 if chr(i) in ".,;:()[]{}\"'/~?*+=<>_&%$#@\\" else ord(chr(i).lower()) for i in range(128)) + bytes(range(128, 256))
-#: Words that headers carry beside names; small words.
-FURNITURE = frozenset("draft of for file copy private and confidential the with between among strictly".split())
 ODD = re.compile(r"[015689|!†гﬁﬂﬀﬃﬄ]")
 NUMBERED = re.compile(r"^\s*(?:clause\s+)?\d+(?:\.\d+)*[.)]?\s+\S", re.I)
 
@@ -171,9 +171,6 @@ def may_page(line: str) -> bool:
     return bool(ends) and any(x.strip(EDGE_MARKS) in ROMANS for x in (ends[0], ends[-1], ends[-2] if len(ends) > 1 else "", ends[1] if len(ends) > 1 else ""))
 
 
-LOWER = re.compile(r"(?<!\S)(?!(?:draft|of|for|file|copy|private|and|confidential|the|with|between|among|strictly)(?!\w))[a-zß-öø-ÿ][^\s]")
-
-
 def strip_page(line: str) -> tuple[str, bool]:
     """A line without a page number at its edge, and whether it had one (or was one)."""
     if not may_page(line):
@@ -184,66 +181,142 @@ def strip_page(line: str) -> tuple[str, bool]:
     return (out.strip(), out != line) if out.strip() else ("", True)
 
 
-def titled(line: str) -> bool:
-    """Whether all long words are capitalised, as in headers and titles."""
-    if LOWER.search(line) or line.rstrip().endswith((".", ";", ",")):
-        return False
-    words = [w for w in re.findall(r"[^\W\d_][^\s]*", line) if len(w) >= 2]
-    big = [w for w in words if w.lower().strip("().,") not in FURNITURE]
-    return len(words) >= 2 and bool(big) and all(not w[0].islower() for w in big)
+def title_words(line: str) -> tuple[list[str], list[str]] | None:
+    """The words of a line that is set like a title, and those of them that begin small; null for any other line."""
+    if PROSE.search(line) or line.rstrip().endswith((".", ";", ",")):
+        return None
+    words = [w for w in WORD.findall(line) if len(w) >= 2]
+    small = [w for w in words if w[0].islower()]
+    return (words, small) if len(words) >= 2 and 2 * len(small) < len(words) else None
+
+
+WORD = re.compile(r"[^\W\d_][^\s]*")
+EDGES = ".,;:()[]{}"
+
+
+def plain_words(words: list[str]) -> list[str]:
+    return [w.lower().strip(EDGES) for w in words]
 
 
 def edge_lines(records: DataFrame) -> DataFrame:
-    """(doc_id, key): lines that come back within a file, by their folded letters' hash."""
+    """(doc_id, key, small, beside, pairs, named): title-like lines that come back within a file, by their folded letters' hash.
+
+    ``small``: words that begin small; ``beside`` and ``pairs``: words, and neighbouring words, that the file's name
+    hasn't; ``named``: whether the line has a word of the file's name.
+    """
 
     def run(batches):
+        names: dict[str, set[str]] = {}
         for batch in batches:
-            docs, keys, recs = [], [], []
-            for doc, rec, no, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out: list[tuple] = []
+            for doc, rec, no, text, name in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if text is None or doc is None or (no == 0 and "\n" not in text):
                     continue
                 for line in text.split("\n"):
-                    if 6 <= len(line) <= 160 and not LOWER.search(line) and not NUMBERED.match(line):
+                    if 6 <= len(line) <= 160 and not PROSE.search(line) and not NUMBERED.match(line):
                         line, _ = strip_page(line.strip())
-                        if len(line) >= 6 and titled(line):
-                            docs.append(doc)
-                            keys.append(skeleton(line))
-                            recs.append(rec)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, type=pa.int64()), pa.array(keys, type=pa.string()), pa.array(recs, type=pa.int64())], names=["doc_id", "line", "rec"])
+                        found = title_words(line) if len(line) >= 6 else None
+                        if found is None:
+                            continue
+                        base = names.get(name or "")
+                        if base is None:
+                            if len(names) > 5000:
+                                names.clear()
+                            base = names[name or ""] = name_words(name)
+                        words = plain_words(found[0])
+                        own = [skeleton(w) in base for w in words]
+                        pairs = [f"{a} {b}" for a, b, x, y in zip(words, words[1:], own, own[1:], strict=False) if not (x or y)]
+                        out.append((doc, skeleton(line), rec, plain_words(found[1]), [w for w, o in zip(words, own, strict=True) if not o], pairs, any(own)))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), texts, texts, texts, pa.bool_()), strict=True)], names=["doc_id", "line", "rec", "small", "beside", "pairs", "named"])
+
+    lines = records.select("doc_id", "rec", "para_no", "text", "name").mapInArrow(run, "doc_id long, line string, rec long, small array<string>, beside array<string>, pairs array<string>, named boolean")
+    by = lines.withColumn("key", F.xxhash64("line")).groupBy("doc_id", "key")
+    seen = by.agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.min("small").alias("small"), F.min("beside").alias("beside"), F.min("pairs").alias("pairs"), F.max("named").alias("named"))
+    return seen.where("a < b").drop("a", "b")
+
+
+def furniture(lines: DataFrame, share: float = 0.02, least: int = 3) -> tuple[list[str], list[str], list[str]]:
+    """(words, small words, pairs of words) that the running lines of many files carry beside their names.
+
+    Learned from edge_lines(): those that stand in ``share`` of all files with a running line that names the
+    file, and in ``least`` files. At most 1 / ``share`` times a file's words can, however many files there are.
+    """
+    named = lines.where("named and doc_id is not null")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in ("beside", "small", "pairs")))
+    each = named.select("doc_id", F.inline(kinds)).select("doc_id", "kind", F.explode("x").alias("word")).distinct()
+    files = named.select("doc_id").distinct().count()
+    often = each.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(least, share * files)).collect()
+    words = {r.word for r in often if r.kind == "beside" and len(r.word) >= 2}
+    return sorted(words), sorted({r.word for r in often if r.kind == "small"} & words), sorted(r.word for r in often if r.kind == "pairs" and set(r.word.split()) <= words)
+
+
+def loose(words: str) -> str:
+    """A pattern for words with or without misread letters, from the confusions."""
+    read: dict[str, list[str]] = {}
+    for bad, good in CONFUSIONS:
+        if len(good) == 1:
+            read.setdefault(good, []).append(bad)
+    one = lambda c: r"\s+" if c == " " else "(?:" + "|".join(map(re.escape, [c, *read.get(c, ())])) + ")"
+    return "".join(map(one, words))
+
+
+class Layout:
+    """What headers look like, from furniture()."""
+
+    def __init__(self, words: list[str], small: list[str], pairs: list[str]):
+        self.plain = frozenset(map(skeleton, words))
+        self.small = frozenset(map(skeleton, small))
+        self.pairs = pairs
+        #: Each pair in two halves: a misread letter spoils one of them.
+        self.halves = [h for p in pairs for n in [len(p.replace(" ", "")) // 2] for h in (p[:n].strip(), p[n:].strip()) if h]
+        joins = "".join(loose(w) + "|" for w in small)
+        self.run = re.compile(rf"(?<!\S){CAPS}(?:\s+(?:{CAPS}|(?:{joins}—|/)(?!\S)))*", re.UNICODE)
+        self.marker = re.compile("|".join(["—", r"\s/\s", *(rf"(?<!\w){loose(p)}(?!\w)" for p in pairs)]), re.I)
+
+    def titled(self, line: str) -> bool:
+        """Whether a line is set like a title, its small words are those of headers, and it has another word."""
+        found = title_words(line)
+        if found is None:
+            return False
+        words, small = found
+        return all(skeleton(w) in self.small for w in small) and any(skeleton(w) not in self.plain for w in words)
 
-    lines = records.select("doc_id", "rec", "para_no", "text").mapInArrow(run, "doc_id long, line string, rec long")
-    seen = lines.select("doc_id", F.xxhash64("line").alias("key"), "rec").groupBy("doc_id", "key").agg(F.min("rec").alias("a"), F.max("rec").alias("b"))
-    return seen.where("a < b").select("doc_id", "key")
+    def signs(self, low: str) -> bool:
+        """A quick look whether a lower-cased text may hold a header, misread or not."""
+        return "—" in low or " / " in low or any(h in low for h in self.halves)
+    def furnished(self, low: str) -> bool:
+        """Whether a lower-cased line may hold a header or a page number."""
+        return "- " in low or " / " in low or "page " in low or "pg. " in low or "p. " in low or any(p in low for p in self.pairs)
 
 
 class Reader:
     """Finds and repairs the noise of one record."""
 
-    def __init__(self, bad: dict[str, str], known: dict[str, int], texts: bool = True):
-        self.bad, self.known, self.texts = bad, known, texts
+    def __init__(self, bad: dict[str, str], known: dict[str, int], layout: Layout, most: int, texts: bool = True):
+        self.bad, self.known, self.layout, self.most, self.texts = bad, known, layout, most, texts
 
     def untouched(self, text: str, keys) -> bool:
         """Whether nothing can be wrong with a text: one line, no odd character, no misread word."""
-        if not ODD_CHARS.isdisjoint(text) or (len(text) <= 160 and (keys or BARE.match(text) or titled(text))):
+        if not ODD_CHARS.isdisjoint(text) or (len(text) <= 160 and (keys or BARE.match(text) or self.layout.titled(text))):
             return False
         low = text.lower()
         words = low_words(text)
-        if furnished(low) or self.suspicious(words):
+        if self.layout.furnished(low) or self.suspicious(words):
             return False
         return all(self.number_fits(before, after) for before, after in bare_numbers(text, words))
 
     def is_header(self, line: str, repeated: bool, name: set[str], head: bool) -> bool:
-        if head or NUMBERED.match(line) or not titled(line):
+        if head or NUMBERED.match(line) or not self.layout.titled(line):
             return False
         if repeated:
             return True
         words = [skeleton(w) for w in re.findall(r"[^\W_]+", line) if len(w) >= 4]
         hits = sum(w in name for w in words)
-        rest = [w for w in words if w not in name and w not in self.plain]
+        rest = [w for w in words if w not in name and w not in self.layout.plain]
         return hits >= 2 and len(rest) == 0
 
-    plain = frozenset(skeleton(w) for w in FURNITURE)
-
     def joined(self, left: str, right: str, mark: str) -> bool:
         """Whether a mark between two parts, at a line's end, divides a word."""
         if mark != "-":
@@ -268,7 +341,7 @@ class Reader:
             if not bare:
                 kept.append("")
                 continue
-            if not (numbers and may_page(bare)) and LOWER.search(bare):
+            if not (numbers and may_page(bare)) and PROSE.search(bare):
                 kept.append(line)
                 continue
             rest, page = strip_page(bare) if len(bare) <= 160 else (bare, False)
@@ -335,16 +408,16 @@ class Reader:
 
         def header(m: re.Match) -> str:
             run = m.group(0)
-            if not MARKER.search(run):
+            if not self.layout.marker.search(run):
                 return run
             tokens = run.split()
-            fits = lambda t: skeleton(t) in name or skeleton(t) in self.plain or t in ("—", "/")
+            fits = lambda t: skeleton(t) in name or skeleton(t) in self.layout.plain or t in ("—", "/")
             a, b = 0, len(tokens)
             # A line that comes back in the file shows how far the header goes.
             spans = ((x, y) for x in range(min(4, b - 1)) for y in range(b, max(x + 1, b - 3), -1))
             a, b, exact = next(((x, y, True) for x, y in spans if y - x >= 2 and repeated(" ".join(tokens[x:y]))), (a, b, False))
             # The run may have caught capitalised words of the sentence on either side.
-            while not exact and b - a > 3 and not fits(tokens[b - 1]) and tokens[b - 1] in STARTERS:
+            while not exact and b - a > 3 and not fits(tokens[b - 1]) and self.known.get(tokens[b - 1].lower(), 0) * 60 > self.most:
                 b -= 1
             while not exact and b - a > 3 and not fits(tokens[a]) and (skeleton(tokens[a]) not in name) and self.known.get(tokens[a].lower(), 0) and any(fits(t) for t in tokens[a + 1 : a + 3]) and tokens[a] != tokens[a].upper():
                 a += 1
@@ -355,8 +428,8 @@ class Reader:
                 noise.add("glyph")
             return " ".join([*tokens[:a], *tokens[b:]])
 
-        if head_signs(low) and MARKER.search(body):
-            body = "\n".join(RUN.sub(header, line) if MARKER.search(line) else line for line in body.split("\n"))
+        if self.layout.signs(low) and self.layout.marker.search(body):
+            body = "\n".join(self.layout.run.sub(header, line) if self.layout.marker.search(line) else line for line in body.split("\n"))
 
         def bare(m: re.Match) -> str:
             if self.number_fits(m.group(1), m.group(3)):
@@ -396,8 +469,6 @@ class Reader:
         return None
 
 
-#: Words that begin a sentence, where a header's run of capitals may have caught one.
-STARTERS = frozenset("The If Neither A An No In On At Each Any All This That Where Unless Die Der Das Le La Les".split())
 SMALL_JOINS = frozenset("and or to und oder bis et ou en of".split())
 DIVIDED = re.compile(r"([^\W\d_](?:[\w|!†]*[\w|!†])?)(-[ \t]*\n\s*|-[ \t]+(?=[^\W\d_])|[‐¬\xad]\s*)([^\W_][\w|!†]*)")
 TOKEN = re.compile(r"[^\s.,;:()\[\]{}“”\"'’‘«»—–/~?*+=<>§•·_&%$€#@\\]{2,60}")
@@ -421,12 +492,16 @@ def clean(records: DataFrame, ratio: int = 12, most: int = 1_000_000, texts: boo
     records = records.where("rec_id is not null")
     counts = materialise(word_counts(records))
     fixes = materialise(corrections(counts, ratio).where("place = 1").select("word", "good"))
-    edges = materialise(edge_lines(records.withColumn("rec", F.xxhash64("rec_table", "rec_id"))))
+    lines = materialise(edge_lines(records.withColumn("rec", F.xxhash64("rec_table", "rec_id"))))
+    carried = furniture(lines)
+    # A line with a small word that headers don't carry is none.
+    edges = lines.where(F.size(F.array_except("small", F.array(*map(F.lit, carried[1])).cast("array<string>"))) == 0).select("doc_id", "key")
+    top = counts.agg(F.max("n")).first()[0] or 0
     # Evidence for hyphens: words that stand hyphenated inside a line, and the words of their joined forms.
     evidence = counts.where((F.col("n") >= 2) | F.col("word").contains("-")).select("word", "n")
     n_fix, n_edge, n_known = fixes.count(), edges.count(), evidence.count()
     if max(n_fix, n_edge, n_known) > most:
-        return _apart(records, fixes, evidence, edges, texts)
+        return _apart(records, fixes, evidence, edges, carried, top, texts)
     shared = spark.sparkContext.broadcast(
         (
             {r.word: r.good for r in fixes.toArrow().to_pandas().itertuples()},
@@ -437,7 +512,7 @@ def clean(records: DataFrame, ratio: int = 12, most: int = 1_000_000, texts: boo
 
     def run(batches):
         bad, known, edge = shared.value
-        reader = Reader(bad, known, texts)
+        reader = Reader(bad, known, Layout(*carried), top, texts)
         nothing = frozenset()
         names: dict[str, set[str]] = {}
         for batch in batches:
@@ -496,7 +571,7 @@ class Answers(dict):
         return not any([w in self for w in words])
 
 
-def _apart(records: DataFrame, fixes: DataFrame, evidence: DataFrame, edges: DataFrame, texts: bool) -> DataFrame:
+def _apart(records: DataFrame, fixes: DataFrame, evidence: DataFrame, edges: DataFrame, carried: tuple, top: int, texts: bool) -> DataFrame:
     """clean() without a dictionary in any one place.
 
     Each record is read with the words it has been told, and notes the others that it asks
@@ -508,23 +583,23 @@ def _apart(records: DataFrame, fixes: DataFrame, evidence: DataFrame, edges: Dat
     rows = records.select("rec_table", "rec_id", "doc_id", "name", "para_no", "text").withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows.join(lines, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc"))
 
-    def outcomes(batch, names):
+    def outcomes(batch, names, layout):
         for text, name, no, keys, told in zip(*(batch.column(c).to_pylist() for c in ("text", "name", "para_no", "keys", "told")), strict=True):
             words, asked = {t["word"] for t in told or ()}, set()
             bad = Answers({t["word"]: t["good"] for t in told or () if t["good"] is not None}, words, asked)
             known = Answers({t["word"]: t["n"] for t in told or () if t["n"] is not None}, words, asked)
-            yield _one(Reader(bad, known, texts), text, frozenset(keys or ()), names, name, no), asked
+            yield _one(Reader(bad, known, layout, top, texts), text, frozenset(keys or ()), names, name, no), asked
 
     def ask(batches):
-        names: dict[str, set[str]] = {}
+        names, layout = {}, Layout(*carried)
         for batch in batches:
-            pairs = [(row, w) for row, (_, asked) in zip(batch.column("row").to_pylist(), outcomes(batch, names), strict=True) for w in asked]
+            pairs = [(row, w) for row, (_, asked) in zip(batch.column("row").to_pylist(), outcomes(batch, names, layout), strict=True) for w in asked]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], type=pa.int64()), pa.array([w for _, w in pairs], type=pa.string())], names=["row", "word"])
 
     def run(batches):
-        names: dict[str, set[str]] = {}
+        names, layout = {}, Layout(*carried)
         for batch in batches:
-            yield _result(batch, [o for o, _ in outcomes(batch, names)], texts)
+            yield _result(batch, [o for o, _ in outcomes(batch, names, layout)], texts)
 
     asked = None
     while True:
@@ -562,20 +637,9 @@ def page_signs(low: str) -> bool:
     return "[" in low or "~" in low or " -" in low or "- " in low or "–" in low or "—" in low or "/" in low or "page" in low or "pg" in low or "p." in low
 
 
-def head_signs(low: str) -> bool:
-    return "—" in low or " / " in low or "vat" in low or "py" in low or "ft o" in low or "ft 0" in low or "ft\n" in low or "ft  " in low
-
-
 ODD_CHARS = frozenset("\n\t‐¬\xad†г|!ﬁﬂﬀﬃﬄ—~[")
 
 
-def furnished(low: str) -> bool:
-    """Whether a lower-cased line may hold a header or a page number."""
-    return "- " in low or " / " in low or "page " in low or "pg. " in low or "private and" in low or "file copy" in low or "draft of" in low or "p. " in low
-
-
-
-
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs and clause bodies in one shape."""
     p = read(spark, sf_dir, "paragraphs").select(F.lit("paragraph").alias("rec_table"), F.col("para_id").alias("rec_id"), "doc_id", F.col("file_name").alias("name"), "para_no", "text")

@@ -83,6 +83,26 @@ def test_scan_noise(spark):
     assert p1.clean(records(spark, rows).limit(0)).count() == 0
 
 
+def test_headers_learned(spark):
+    """What headers carry beside names comes from the lines of many files; nothing of it is given."""
+    rows, rng = [], random.Random(3)
+    for d in range(8):
+        name = f"x/Lease {'Alpha Beta Gamma Delta Omega Sigma Kappa Theta'.split()[d]}town.pdf"
+        head = f"{name[2:-4]} zum Gebrauch"  # 'zum Gebrauch' stands in no list
+        rows += [(d, name, 0, "A title"), (d, name, 1, f"The vendor shall keep the timber\n{head}\nwithin forty days."), (d, name, 2, head), (d, name, 3, "The vendor pays the\nlease for the term."), (d, name, 4, f"The vendor shall keep {head} the timber.")]
+    rows += [(99, "x/none.pdf", 1, "The vendor zum\nlease"), (None, None, 1, "Lease Gebrauch\nand more"), (99, "x/none.pdf", 2, "x" * 9000)]
+    rng.shuffle(rows)
+    df = records(spark, rows)
+    words, small, pairs = p1.furniture(p1.edge_lines(df.withColumn("rec", F.col("rec_id"))))
+    assert (words, small, pairs) == (["gebrauch", "zum"], ["zum"], ["zum gebrauch"])
+    got = {r.rec_id: r for r in p1.clean(df).collect()}
+    for i, (d, _, no, _) in enumerate(rows):
+        assert ("header" in got[i].noise) == (d is not None and d < 90 and no in (1, 2, 4)), rows[i]
+    assert {got[i].text for i, r in enumerate(rows) if r[0] in range(8) and r[2] == 4} == {"The vendor shall keep the timber."}
+    assert p1.furniture(p1.edge_lines(df.limit(0).withColumn("rec", F.col("rec_id")))) == ([], [], [])
+    assert re.fullmatch(p1.loose("file copy"), "fi1e  c0py") and not re.fullmatch(p1.loose("file copy"), "film copy")
+
+
 def test_anagram_hash_is_additive(spark):
     df = spark.createDataFrame([("rnat", "mat"), ("born", "bom")], "a string, b string")
     d = {r.d for r in df.select((p1.anagram_hash(F.col("a")) - p1.anagram_hash(F.col("b"))).alias("d")).collect()}
