@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from clausemill.llm.shingles import BITS, mix, shingle_hashes, shingle_sets, slices
 from clausemill.session import materialise, read
 
-TABLE = 20  # bits of the frequency table: of fixed size, whatever the corpus
+TABLE = 20  # bits of the frequency table: of fixed size, whatever the corpus; what strangers add to a number is taken off (see spread)
 CUTS = 16
 
 
@@ -117,6 +117,8 @@ def candidates(df: DataFrame, floor: float, width: int, least_words: int, table:
     spark = df.sparkSession
     regions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = Bounds(floor)
+    # A number of the table counts all shingles of its hash: their mean, on a corpus of any size, isn't a shingle's own.
+    strangers = int(table.mean())
     shared = spark.sparkContext.broadcast(table)
     names = ["region", "ids", "n", "sketch", "tok", "doc", "rank"]
 
@@ -145,9 +147,9 @@ def candidates(df: DataFrame, floor: float, width: int, least_words: int, table:
                 size = n[local]
                 far, near = bounds.probe(size), bounds.index(size)
                 # Common pivots: by the pair with the next shared one, which lies at most one place beyond the window.
-                single = np.flatnonzero((rank < far) & (freq <= hot))
+                single = np.flatnonzero((rank < far) & (freq - strangers <= hot))
                 toks, docs, ranks, roles = [mix(s[single])], [local[single]], [rank[single]], [rank[single] < near[single]]
-                common = np.flatnonzero((rank < far) & (freq > hot))
+                common = np.flatnonzero((rank < far) & (freq - strangers > hot))
                 for step in range(1, int(far.max()) + 1) if len(common) else ():
                     c = common[rank[common] + step < np.minimum(far[common] + 1, size[common])]
                     if not len(c):

@@ -167,7 +167,7 @@ class Canon:
         self.exact: dict[str, int] = {}
         self.bags: dict[str, set[int]] = {}
         self.initials: dict[str, set[int]] = {}
-        self.words: list[tuple[list[str], int]] = []
+        self.words: dict[tuple[int, str], list[tuple[list[str], int]]] = {}  # by number of words and first letter
         for label_id, label, aliases in sorted(entries, key=lambda e: (e[0] is None, e[0])):
             if label_id is None:
                 continue
@@ -179,7 +179,8 @@ class Canon:
                     self.exact.setdefault(form, label_id)
                 self.bags.setdefault(bag(c), set()).add(label_id)
                 words = [w for w in c.split() if w not in SMALL]
-                self.words.append((words, label_id))
+                if words:
+                    self.words.setdefault((len(words), words[0][0]), []).append((words, label_id))
                 if i == 0 and len(words) >= 2:
                     for w in ([x for x in c.split() if x not in SMALL], c.split(), spell(c).split()):
                         self.initials.setdefault("".join(x[0] for x in w), set()).add(label_id)
@@ -189,11 +190,10 @@ class Canon:
         """Entries whose words begin, one by one, with the value's words."""
         given = [w.rstrip(".") for w in re.sub(r"\s*[&+/]\s*", " ", c).split()]
         given = [w for w in given if w and w not in SMALL]
-        out = set()
-        for words, label_id in self.words:
-            if len(words) == len(given) and all(w.startswith(g) for w, g in zip(words, given, strict=True)):
-                out.add(label_id)
-        return out
+        if not given:
+            return set()
+        same = self.words.get((len(given), given[0][0]), ())
+        return {label_id for words, label_id in same if all(w.startswith(g) for w, g in zip(words, given, strict=True))}
 
     def candidates(self, value: str) -> list[tuple[int, int, int]]:
         """(step, edits, label_id) of all that a step finds, for each step; a shape of two entries here comes with two.
@@ -249,6 +249,9 @@ def choose(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     return 9, 0, 0
 
 
+TREES = ("trees",)  # no kind is a tuple
+
+
 def resolve(values: DataFrame, canon: DataFrame, shard: int = 20_000) -> DataFrame:
     """(kind, value, label_id, step, edits) of each distinct (kind, value); label_id 0 where it stands for none.
 
@@ -276,7 +279,10 @@ def resolve(values: DataFrame, canon: DataFrame, shard: int = 20_000) -> DataFra
         lists = spark.sparkContext.broadcast(by)
 
         def run(batches, lists=lists):
-            trees = {k: Canon(v, shards == 1) for k, v in lists.value.items()}
+            by = lists.value
+            if TREES not in by:  # the broadcast's value stays in the worker: trees are built once there, not for each task
+                by[TREES] = {k: Canon(v, shards == 1) for k, v in by.items()}
+            trees = by[TREES]
             for batch in batches:
                 if shards > 1:
                     got = [(k, v, i, s, e) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s, e, i in [*(trees[k].candidates(v) if k in trees else ()), (9, 0, 0)]]
@@ -316,7 +322,7 @@ def map_clauses(clauses: DataFrame, canon: DataFrame, most: int = 200_000) -> Da
     """
     fields = typed_fields(clauses)
     labels = canon.select("kind", F.col("label").alias("value")).dropDuplicates()
-    typed = fields.join(F.broadcast(labels), ["kind", "value"], "left_anti")
+    typed = fields.join(F.broadcast(labels) if labels.count() <= most else labels, ["kind", "value"], "left_anti")
     found = materialise(resolve(typed, canon).select("kind", "value", "label_id"))
     side = F.broadcast(found) if found.count() <= most else found
     return typed.join(side, ["kind", "value"]).select("clause_id", "field", "label_id").dropDuplicates(["clause_id", "field"])

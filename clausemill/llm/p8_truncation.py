@@ -2,8 +2,10 @@
 
 Lengths at which a source's texts stop far more often than at neighbouring lengths are
 found by discrete hazards over window functions, under false-discovery control. An
-ending that is open by itself is a cut; an ending that could be either (a list item, a
-signature line) counts as cut where its length is such a limit of its source.
+incomplete ending (open, or one that could be either, such as a list item) at such a
+length of its source is a cut by that limit. A transfer may break off anywhere, so that an
+open ending at any other length is a cut too, by a mark that it has left or by itself;
+``evidence`` says which of the three it is.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clausemill.functions.text import WS
 from clausemill.session import read
 
 #: Fixed values. Marks that a transfer leaves: ellipsis, broken character, begun entity or bracket.
@@ -33,6 +36,9 @@ CLOSERS = (
 )
 #: Lines that may be whole or cut; the source's limits decide.
 EITHER = (r"\A(?:\([a-z0-9]{1,3}\)|[-*•–]|\d+[.)]|[a-z]\))\s+\S", r"_{3,}\z", r"(?i)\Acc:\s*\S")
+BLANK_END = rf"(?:{WS}|[\p{{Cc}}\x{{200B}}\x{{FEFF}}])+\z"
+#: A word on a line of its own below a name, as under a signature.
+ROLE, SIGNED = r"\A\p{Lu}\p{Ll}+\z", r"\A\p{Lu}[^.,;:]{2,60}\z"
 
 
 def _any(line: Column, patterns: tuple[str, ...]) -> Column:
@@ -44,10 +50,10 @@ def _any(line: Column, patterns: tuple[str, ...]) -> Column:
 
 def ending(text: Column) -> Column:
     """'none' (null, empty or blank), 'open', 'whole' or 'either'."""
-    tail = F.regexp_replace(text, r"(?U)[\s\p{Cntrl}\x{200B}\x{FEFF}]+\z", "")
-    line = F.regexp_replace(F.substring_index(tail, "\n", -1), r"(?U)^\s+", "")
-    before = F.regexp_replace(F.substring_index(F.substring_index(tail, "\n", -2), "\n", 1), r"(?U)^\s+|\s+\z", "")
-    role = line.rlike(r"\A\p{Lu}\p{Ll}+\z") & (F.size(F.split(tail, "\n")) > 1) & before.rlike(r"\A\p{Lu}[^.,;:]{2,60}\z")
+    tail = F.regexp_replace(text, BLANK_END, "")
+    line = F.regexp_replace(F.substring_index(tail, "\n", -1), rf"^{WS}+", "")
+    before = F.regexp_replace(F.substring_index(F.substring_index(tail, "\n", -2), "\n", 1), rf"^{WS}+|{WS}+\z", "")
+    role = line.rlike(ROLE) & (F.size(F.split(tail, "\n")) > 1) & before.rlike(SIGNED)
     return (
         F.when(text.isNull() | (tail == ""), "none")
         .when(tail.rlike(MARKS), "open")
@@ -89,8 +95,9 @@ def limits(lengths: DataFrame, keys: list[str], length: str, near: int = 20, rat
 
 
 def flag(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with ``ending`` and ``cut``.
+    """``docs`` with ``ending``, ``cut`` and ``evidence`` ('limit', 'mark' or 'ending' of a cut text, else null).
 
+    Whatever its mark, an incomplete text at a significant length of its source is cut by that limit.
     Null, empty and blank texts are never cut. A null source is a source of its own.
     Repeated rows are flagged alike; a column of ``docs`` with one of the added names is
     replaced. One pass reads the lengths (aggregated before the shuffle); the limits,
@@ -103,7 +110,12 @@ def flag(docs: DataFrame, text: str = "text", source: str = "source") -> DataFra
     at = found.groupBy("__s").agg(F.collect_set(F.when(F.col("__m") == "chars", F.col("__l"))).alias("__c"), F.collect_set(F.when(F.col("__m") == "bytes", F.col("__l"))).alias("__b"))
     j = e.join(at, e[source].eqNullSafe(at["__s"]), "left")
     here = F.coalesce(F.array_contains("__c", F.col("__n")) | F.array_contains("__b", F.col("__o")), F.lit(False))
-    return j.withColumn("cut", F.coalesce((F.col("ending") == "open") | ((F.col("ending") == "either") & here), F.lit(False))).drop("__s", "__c", "__b", "__n", "__o")
+    j = j.withColumn("cut", F.coalesce((F.col("ending") == "open") | ((F.col("ending") == "either") & here), F.lit(False)))
+    marked = F.regexp_replace(F.col(text), BLANK_END, "").rlike(MARKS)
+    return j.withColumn("evidence", F.when(F.col("cut"), F.when(here, "limit").when(marked, "mark").otherwise("ending"))).drop("__s", "__c", "__b", "__n", "__o")
+
+
+EVIDENCE = ("limit", "mark", "ending")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +130,9 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source's texts are cut."""
+    """How often each source's texts are cut, and by which evidence."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    f = flag(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("cut").alias("n_cut"))
+    f = flag(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("cut").alias("n_cut"), *(F.count_if(F.col("evidence") == e).alias(f"n_{e}") for e in EVIDENCE))
     return f.withColumn("share", F.round(F.col("n_cut") / F.col("n_docs"), 6))
 
 
@@ -135,9 +147,36 @@ select source, cast(length as bigint) as length, n, cast(at_risk as bigint) as a
 """
 
 
+def _either(x: str, patterns: tuple[str, ...]) -> str:
+    return " or ".join(f"regexp_matches({x}, '{p}')" for p in patterns)
+
+
+_STOP = STOP.replace("'", "''")
+FLAG_SQL = rf"""
+d as (select doc_id, source, text, regexp_replace(text, '{BLANK_END}', '') as tail, length(text) as chars, octet_length(encode(text)) as bytes from documents),
+q as (select *, string_split(tail, chr(10)) as parts, regexp_replace(string_split(tail, chr(10))[-1], '^{WS}+', '') as line, regexp_replace(coalesce(string_split(tail, chr(10))[-2], ''), '^{WS}+|{WS}+\z', '', 'g') as above from d),
+e as (select *, regexp_matches(tail, '{MARKS}') as marked, case when tail is null or tail = '' then 'none' when regexp_matches(tail, '{MARKS}') then 'open' when {_either('line', CLOSERS)} then 'whole'
+  when regexp_matches(line, '{_STOP}') then case when regexp_matches(line, '{INSIDE}') then 'open' else 'whole' end
+  when {_either('line', EITHER)} then 'either' when regexp_matches(line, '{ROLE}') and len(parts) > 1 and regexp_matches(above, '{SIGNED}') then 'whole' else 'open' end as ending from q),
+n as (select source, m, l, count(*) as n from (select source, 'c' as m, chars as l from d union all select source, 'b', bytes from d) where l is not null group by 1, 2, 3),
+r as (select *, (sum(n) over (partition by source, m order by l range between 20 preceding and 20 following) - n + 0.5) / 40.0 as expected from n),
+p as (select *, case when n > expected then -(n * ln(n / expected) - n + expected) else 0.0 end as log_p from r),
+k as (select *, row_number() over (partition by source, m order by log_p, l) as place, count(*) over (partition by source, m) as tests from p),
+x as (select *, max(case when log_p <= ln(0.001 * place / tests) then place end) over (partition by source, m) as passed from k),
+lim as (select source, m, l from x where place <= passed and n >= 5),
+h as (select e.*, exists (select 1 from lim where lim.source is not distinct from e.source and (m = 'c' and l = chars or m = 'b' and l = bytes)) as here from e),
+flagged as (select doc_id, source, here, marked, ending = 'open' or (ending = 'either' and here) as cut from h)
+"""
+FOUND_SQL = f"with {FLAG_SQL} select distinct doc_id, source from flagged where cut"
+RATES_SQL = f"""
+with {FLAG_SQL} select source, count(*) as n_docs, count(*) filter (cut) as n_cut, count(*) filter (cut and here) as n_limit, count(*) filter (cut and not here and marked) as n_mark,
+  count(*) filter (cut and not here and not marked) as n_ending, round(count(*) filter (cut) / count(*), 6) as share from flagged group by 1
+"""
+
+
 def queries() -> dict:
     return {"p8_found": p8_found, "p8_limits": p8_limits, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict:
-    return {"p8_limits": LIMITS_SQL}
+    return {"p8_found": FOUND_SQL, "p8_limits": LIMITS_SQL, "p8_rates": RATES_SQL}

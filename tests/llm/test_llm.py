@@ -124,7 +124,7 @@ def brute_pairs(rows, floor, width, least):
     return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] | sets[b] and len(sets[a] & sets[b]) >= floor * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
+@pytest.mark.parametrize("hot", [50_000, 3, -1])
 @pytest.mark.parametrize(("floor", "width"), [(0.6, 3), (0.8, 5)])
 def test_near_records(spark, hot, floor, width):
     rng = random.Random(7)
@@ -405,4 +405,9 @@ def test_limits_and_flags(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, cut int")
     got = {r.doc_id for r in p8.flag(df).where("cut").collect()}
     assert got == {1000 + i for i in range(40)} | {3002}
+    why = {r.doc_id: r.evidence for r in p8.flag(df).collect()}
+    assert why[1000] == "limit" and why[3002] == "ending" and why[3000] is None and why[2000] is None
+    # Without its neighbours of equal length the same ending isn't a cut: the hazard decides.
+    assert p8.flag(df.where("doc_id not between 1001 and 1039")).where("cut and doc_id = 1000").count() == 0
+    assert p8.flag(spark.createDataFrame([(1, "s", "broken off…", 2)], df.schema)).first().evidence == "mark"
     assert p8.flag(df).count() == len(rows) and p8.flag(df.limit(0)).count() == 0
