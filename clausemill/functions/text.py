@@ -139,6 +139,11 @@ def slug(x: Column, fallback: str = "") -> Column:
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
+def default_file_name(title: Column) -> Column:
+    """A title as a file's name: runs of other characters than letters, digits, '_', '.' and '-' as one '_'; 'draft' if blank."""
+    return F.when(trim_ws(F.coalesce(title, F.lit(""))) == "", "draft").otherwise(F.regexp_replace(title, r"[^A-Za-z0-9_.-]+", "_"))
+
+
 def snippet_bytes(x: Column, most: int = 300) -> Column:
     """A beginning of at most ``most`` bytes that splits no character, with a mark if cut."""
     cut = F.make_valid_utf8(F.substring(F.encode(x, "UTF-8"), 1, most).cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausemill.functions import tables as T
-from clausemill.functions.text import cross_refs, normalize_label, rewrite_refs, substitute, terms_used, title_similarity, trim_ws
+from clausemill.functions.text import VARIABLE, cross_refs, normalize_label, rewrite_refs, substitute, terms_used, title_similarity, trim_ws
 from clausemill.operators import tree
 from clausemill.operators.search import OPERATIVE
 
@@ -151,6 +152,11 @@ def draft_rows(clauses: DataFrame, variables: Column, exclude: list[str] | None
     return rows.withColumn("new_heading", head).withColumn("refs", cross_refs(F.col("new_body")))
 
 
+def substitute_text(text: str, variables: dict[str, str]) -> str:
+    """``{{name}}`` and ``{{name|Label}}`` in one text, as functions.text.substitute does in a column."""
+    return re.sub(VARIABLE, lambda m: variables.get(m[1], m[0]), text)
+
+
 def recitals(clauses: DataFrame, contract_type: Column | None = None) -> DataFrame:
     """Substantive recitals: labelled as such, or with 'whereas'; blank ones are left out."""
     head = F.lower(F.coalesce("heading", F.lit(""))).rlike("|".join(T.SUBSTANTIVE_RECITAL))

@@ -77,12 +77,13 @@ def hash_embed(texts: list[str | None], dims: int = 256) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
 
 
-def embed(rows: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
-    """(``key``, embedding): hashed embedding of each text; a null or empty text gives zeros."""
+def embed(rows: DataFrame, key: str, text: str, dims: int = 256, make=None) -> DataFrame:
+    """(``key``, embedding): embedding of each text by ``make`` (the hashed one if none is given: zeros for a null or empty text)."""
+    make = make or (lambda texts: hash_embed(texts, dims))
 
     def run(batches):
         for batch in batches:
-            v = hash_embed(batch.column(1).to_pylist(), dims)
+            v = make(batch.column(1).to_pylist()).astype(np.float32)
             offsets = np.arange(0, (len(v) + 1) * dims, dims, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.ravel()))], names=[key, "embedding"])
 

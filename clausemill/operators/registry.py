@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,28 @@ def attached(sources: DataFrame, scope: list[str] | None = None) -> DataFrame:
     return out.orderBy("name")
 
 
+def setting(settings: DataFrame, key: str):
+    """The value of a key, read as JSON where it is JSON; null where there is none."""
+    row = settings.where(F.col("key") == key).select("value").first()
+    if row is None or row.value is None:
+        return None
+    try:
+        return json.loads(row.value)
+    except json.JSONDecodeError:
+        return row.value
+
+
+def delete_setting(settings: DataFrame, key: str) -> DataFrame:
+    return settings.where(~F.col("key").eqNullSafe(F.lit(key)))
+
+
+def provenance(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc_id, source, file): where each document's file lies; documents of an unknown source have none."""
+    s = sources.select(F.col("name").alias("source"), "folder")
+    file = F.concat(F.regexp_replace("folder", r"/+$", ""), F.lit("/"), F.replace("rel_path", F.lit("\\"), F.lit("/")))
+    return documents.join(F.broadcast(s), "source").select("doc_id", "source", file.alias("file"))
+
+
 def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of (key, value)."""
     return settings.join(new.select("key"), "key", "left_anti").unionByName(new)

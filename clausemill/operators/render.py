@@ -105,9 +105,33 @@ def rewrite_ooxml(p: str, numbers: dict[str, str]) -> str:
     return re.sub(r"(?s)(<w:t[^>]*>)(.*?)(</w:t>)", lambda m: m[1] + ref.sub(lambda r: r[1] + numbers.get(r[2], r[2]), m[2]) + m[3], p)
 
 
+def lift(lines: list[tuple[str | None, str]], lifted: dict[str, list]) -> list[tuple[str | None, str]]:
+    """Lines with the paragraphs of a clause replaced by its source's raw ones (style RAW).
+
+    ``lifted``: first line of a clause to (its body, whether that line is a heading, raw paragraphs). A heading stays
+    as a line, numbered anew; of an unheaded clause the first line carries the number and stays too.
+    """
+    out, i = [], 0
+    while i < len(lines):
+        out.append(lines[i])
+        found = lifted.get(lines[i][1].strip())
+        i += 1
+        if found is None:
+            continue
+        body, headed, raw = found
+        own = [x.strip() for x in body.split("\n") if x.strip()][0 if headed else 1 :]
+        if [t.strip() for _, t in lines[i : i + len(own)]] == own:
+            out += [(RAW, x) for x in (raw if headed else raw[1:])]
+            i += len(own)
+    return out
+
+
+RAW = "raw paragraph"
+
+
 def docx_bytes(title: str, lines: list[tuple[str | None, str]], donor: Donor | None = None) -> bytes:
-    """A minimal DOCX of (style, text) lines; a donor brings styles, lists and section."""
-    body = paragraph_xml(title, "Title") + "".join(paragraph_xml(t, s) for s, t in lines) + ((donor.sect_pr or "") if donor else "")
+    """A minimal DOCX of (style, text) lines; a donor brings styles, lists and section. Lines of style RAW are XML."""
+    body = paragraph_xml(title, "Title") + "".join(t if s == RAW else paragraph_xml(t, s) for s, t in lines) + ((donor.sect_pr or "") if donor else "")
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     kinds = "".join(f'<Override PartName="/{p}" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.{p.rpartition("/")[2].removesuffix(".xml")}+xml"/>' for p in (donor.parts if donor else {}))
     files = {

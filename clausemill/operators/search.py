@@ -231,6 +231,14 @@ def filters(kind: str | None = None, exclude_kinds=(), approved_only: bool = Fal
     return out
 
 
+KINDS = ("clause", "definition", "recital", "schedule", "execution", "other")
+
+
+def kind_of(text: str) -> str:
+    """A kind as it is typed; an unknown one is 'other'."""
+    return text.strip().lower() if text.strip().lower() in KINDS else "other"
+
+
 #: Operative clauses: all but these kinds ('other' stays).
 OPERATIVE = ("definition", "schedule", "recital", "execution")
 
@@ -266,8 +274,14 @@ def hybrid(queries: DataFrame, post: DataFrame, sizes: DataFrame, vectors: DataF
 
 
 def expand(hits: DataFrame, edges: DataFrame, clauses: DataFrame, documents: DataFrame, limit: int, key: str = "clause_id") -> DataFrame:
-    """Neighbours one edge away of the hits, that aren't hits themselves, once each, score 0, at most ``limit`` a query."""
-    near = hits.select("query_id", F.col(key).alias("src_clause")).join(edges, "src_clause").select("query_id", F.col("dst_clause").alias(key)).distinct()
+    """Neighbours one edge away of the hits, that aren't hits themselves, once each, score 0, at most ``limit`` a query.
+
+    Where hits have a source, their neighbours are looked for in it alone.
+    """
+    own = ["source"] if "source" in hits.columns else []
+    near = hits.select("query_id", *own, F.col(key).alias("src_clause")).join(edges.select("src_clause", "dst_clause"), "src_clause").select("query_id", *own, F.col("dst_clause").alias(key)).distinct()
+    if own:
+        near = near.join(clauses.select(key, "source"), [key, "source"], "left_semi").drop("source").distinct()
     new = near.join(hits.select("query_id", key), ["query_id", key], "left_anti")
     full = hydrate(new, clauses, documents, key)
     w = W.partitionBy("query_id").orderBy(key)

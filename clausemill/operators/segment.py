@@ -28,10 +28,12 @@ def nodes(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
     Schedule titles, numbered paragraphs and unnumbered headings open a node, other
     paragraphs join the open one; what stands before the first is a recital. Rows are
     ordered by para_no; null texts are left out. Nodes without heading and body are
-    dropped before ``seq`` is given.
+    dropped before ``seq`` is given. Where ``paragraphs`` has ``ooxml``, the raw XML of the
+    node's paragraphs comes along as an array.
     """
+    raw = "ooxml" in paragraphs.columns
     t = trim_ws(F.col("text"))
-    p = paragraphs.where("text is not null").select(key, "para_no", F.col("heading_level"), t.alias("t")).where("t != ''")
+    p = paragraphs.where("text is not null").select(key, "para_no", F.col("heading_level"), t.alias("t"), *(["ooxml"] if raw else [])).where("t != ''")
     p = p.withColumn("is_s", F.col("t").rlike(SCHEDULE) & (F.octet_length("t") <= 80))
     p = p.withColumn("path", F.regexp_extract("t", NUMBER, 1)).withColumn("rest", F.regexp_extract("t", NUMBER, 2))
     p = p.withColumn("is_n", ~F.col("is_s") & (F.col("path") != ""))
@@ -57,11 +59,12 @@ def nodes(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
         first("d").alias("depth"),
         first(F.coalesce("h", F.lit("\x00"))).alias("heading"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("para_no", "body")))), lambda x: x["body"]), "\n").alias("body"),
+        *([F.transform(F.array_sort(F.collect_list(F.when(F.col("body").isNotNull() & F.col("ooxml").isNotNull(), F.struct("para_no", "ooxml")))), lambda x: x["ooxml"]).alias("ooxml")] if raw else []),
     )
     g = g.withColumn("heading", F.when(F.col("heading") != "\x00", F.col("heading"))).withColumn("number", F.when(F.col("number") != "", F.col("number")))
     kept = g.where((F.col("heading").isNotNull()) | (trim_ws(F.col("body")) != ""))
     seq = F.row_number().over(W.partitionBy(key).orderBy("node")) - 1
-    return kept.select(key, seq.alias("seq"), "kind", "number", F.col("depth").cast("int").alias("depth"), "heading", "body")
+    return kept.select(key, seq.alias("seq"), "kind", "number", F.col("depth").cast("int").alias("depth"), "heading", "body", *(["ooxml"] if raw else []))
 
 
 def definitions(clauses: DataFrame, key: str = "doc_id", keep=("seq",)) -> DataFrame:
@@ -75,7 +78,7 @@ def objects(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Nodes with harvested definitions, their order ``ord``, short noise dropped (after seq is given)."""
     n = nodes(paragraphs, key).withColumn("term", F.lit(None).cast("string")).withColumn("o", F.struct(F.lit(0).alias("d"), "seq", F.lit(0).alias("l"), F.lit(0).alias("m")))
     d = definitions(n, key).select(key, "seq", F.lit("definition").alias("kind"), F.lit(None).cast("string").alias("number"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("heading"), "body", "term", F.struct(F.lit(1).alias("d"), "seq", F.col("line_no").alias("l"), F.col("match_no").alias("m")).alias("o"))
-    both = n.unionByName(d).withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("o")) - 1).drop("o")
+    both = n.unionByName(d, allowMissingColumns=True).withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("o")) - 1).drop("o")
     return both.where((F.octet_length("body") >= 40) | (F.col("kind") == "definition") | F.col("heading").isNotNull())
 
 

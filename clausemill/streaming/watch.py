@@ -21,7 +21,8 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, on_change: Callable
     """Call ``on_change`` for each batch of new or changed files; stop with ``query.stop()``.
 
     The file source gives paths; content hashes make re-processing idempotent, and the
-    callback rescans for deletions. ``once`` catches up with what is there and ends.
+    callback rescans for deletions. Changes within ``every`` come as one batch, so that a
+    burst of them is scanned once. ``once`` catches up with what is there and ends.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     hashed = files.select("path", "modificationTime", F.sha2("content", 256).alias("content_hash"))

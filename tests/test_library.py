@@ -1,11 +1,16 @@
 """The whole chain on a folder of small contracts."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from clausemill.library import Library
+from clausemill.operators import render
 from clausemill.operators.assemble import Spec
+from clausemill.operators.embed import HashEmbedder
 from clausemill.operators.prompt import Echo
+from clausemill.sources import readers
 
 SERVICE = """SERVICE AGREEMENT
 
@@ -44,6 +49,11 @@ This agreement is governed by the laws of South Africa and no other.
 """
 
 
+def main(stats):
+    assert stats["objects"] >= 0
+    return {k: v for k, v in stats.items() if k != "objects"}
+
+
 @pytest.fixture(scope="module")
 def lib(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("lib")
@@ -52,7 +62,8 @@ def lib(spark, tmp_path_factory):
     (root / "in" / "nda.md").write_text(NDA)
     lib = Library(spark, str(root / "index"))
     lib.add_source("Packs", str(root / "in"))
-    assert lib.ingest("Packs") == {"new": 2, "changed": 0, "unchanged": 0, "removed": 0}
+    (root / "in" / "broken.docx").write_bytes(b"no zip")
+    assert main(lib.ingest("Packs")) == {"new": 2, "changed": 0, "unchanged": 0, "removed": 0, "failed": 1}
     lib.folder = root / "in"
     return lib
 
@@ -83,17 +94,95 @@ def test_draft(lib, tmp_path):
     assert text.startswith("# My Services\n\n**Between:**") and "## Execution" in text and "for Gamma." in text and text.rstrip().endswith("_Governing law: South Africa._")
     lib.render(d, str(tmp_path / "out.docx"), force=True)
     assert (tmp_path / "out.docx").read_bytes()[:2] == b"PK"
-    new = lib.adapt(d, "1", "shorter", Echo('[{"type": "paragraph", "runs": [{"text": "New."}]}]'))
-    assert new.clauses.where("new_number = '1'").first().new_body == "New."
-    assert lib.ask("who may terminate?", Echo("the parties [1]")) == "the parties [1]"
+    model = Echo("the parties [1]")
+    assert lib.ask("who may terminate?", model) == "the parties [1]"
+    assert "[1]" in model.seen[0].messages[0]["content"]
+    assert {r.name for r in lib.assemble(Spec(contract_type="Service Agreement", parties=spec.parties)).variables().collect()} == {"client"} and d.variables().count() == 0
+
+
+def test_draft_round_trip(lib, tmp_path):
+    """A draft as JSON and back; a model's answer is taken only if the whole draft stays valid."""
+    d = lib.assemble(Spec(contract_type="Service Agreement", title="My Services", parties=[{"name": "Gamma Ltd", "role": "Customer"}], variables={"client": "Gamma"}))
+    lib.save_draft(d, str(tmp_path / "draft.json"))
+    e = lib.load_draft(str(tmp_path / "draft.json"))
+    assert e.spec == d.spec and e.numbers == d.numbers and e.filled == d.filled
+    assert lib.markdown(e) == lib.markdown(d) and e.to_json() == d.to_json()
+    key = lambda x: sorted((r.code, r.location, r.detail) for r in lib.validate(x).collect())
+    assert key(e) == key(d)
+    answer = lambda t: Echo('[{"type": "paragraph", "runs": [{"text": "' + t + '"}]}]')
+    bad = [r for r in lib.validate(d).where("severity = 'error'").collect()]
+    if bad:  # numbers of the fixture's unheaded rows: mended here
+        d.clauses = d.clauses.withColumn("new_body", F.when(F.trim("new_body") == "", "Some text.").otherwise(F.col("new_body")))
+    new = lib.adapt(d, "1", "shorter", answer("New."))
+    row = new.clauses.where("new_number = '1'").first()
+    assert row.new_body == "New." and row.adapted and list(row.refs) == []
+    with pytest.raises(ValueError, match="dangling-cross-reference"):
+        lib.adapt(d, "1", "shorter", answer("See clause 99."))
+    with pytest.raises(ValueError):
+        lib.adapt(d, "1", "shorter", Echo("not json"))
+
+
+def test_settings_and_model(lib):
+    assert lib.model() is None and lib.get_setting("x") is None
+    lib.put_setting("x", {"a": [1, None]})
+    lib.put_setting("x", 5)
+    lib.set_model("own", "small", url="http://localhost")
+    assert lib.get_setting("x") == 5 and lib.model() == {"adapter": "own", "model": "small", "url": "http://localhost"}
+    lib.clear_model()
+    lib.delete_setting("x")
+    assert lib.model() is None and lib.table("settings").count() == 0
+    assert lib.attach("nobody") is False and lib.search("notice", kind="no such kind").count() == 0
+
+
+def test_stored_index(lib):
+    """What a scan stores is what the texts give; another embedder's vectors aren't compared."""
+    from clausemill.operators import index
+
+    c = lib.table("clauses")
+    rows = lambda df: sorted(map(tuple, df.select("clause_id", "token", "tf_heading", "tf_body", "len").collect()))
+    assert rows(lib.table("postings")) == rows(index.postings(c)) and lib.table("sizes").count() == index.sizes(c).count()
+    other = Library(lib.spark, lib.root, embedder=HashEmbedder(64))
+    with pytest.raises(ValueError, match="embedder"):
+        other.search("notice")
+    with pytest.raises(ValueError, match="no precedent"):
+        other.assemble(Spec(contract_type="Service Agreement"))
+
+
+def test_styled_docx(spark, lib, tmp_path):
+    """A source's own Word paragraphs come along into a draft with a donor's styles, renumbered and cleaned."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, style="", inner="": f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}<w:r><w:rPr><w:b/></w:rPr><w:t>{t}</w:t></w:r>{inner}</w:p>'
+    body = p("LOAN AGREEMENT", "Title") + p("7. Repayment") + p("The Borrower repays under clause 7 to {{lender}} in the stated instalments.", "", "<w:r><w:drawing>x</w:drawing></w:r>") + p("8. Interest") + p("Interest runs at the rate of the bank from the first day on.")
+    src = tmp_path / "loans"
+    src.mkdir()
+    with zipfile.ZipFile(src / "loan.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}<w:sectPr/></w:body></w:document>")
+        z.writestr("word/styles.xml", "<w:styles/>")
+    own = Library(spark, str(tmp_path / "index"))
+    own.add_source("Loans / old", str(src))
+    events = []
+    for q in own.watch_all(str(tmp_path / "state"), once=True, on_event=lambda e, x: events.append((e, x["source"], x.get("new")))).values():
+        q.awaitTermination()
+    assert events == [("source-updated", "Loans / old", 1)]
+    d = own.assemble(Spec(contract_type="Loan Agreement", title="New Loan", parties=[{"name": "A", "role": "Lender"}], variables={"lender": "Alpha"}))
+    donor = render.Donor.from_docx((src / "loan.docx").read_bytes())
+    own.render(d, str(tmp_path / "new.docx"), force=True, donor=donor)
+    with zipfile.ZipFile(tmp_path / "new.docx") as z:
+        xml = z.read("word/document.xml").decode()
+    assert "<w:b />" in xml or "<w:b/>" in xml
+    assert "under clause 1 to Alpha" in xml and "drawing" not in xml and "1. Repayment" in xml
+    assert readers.docx_paragraphs((tmp_path / "new.docx").read_bytes())[0][0] == "New Loan"
+    (src / "x.html").write_text("<p>x")
+    own.remove("Loans / old")
+    assert own.table("edges").count() == 0 and own.table("clauses").count() == 0
 
 
 def test_changes(lib):
     (lib.folder / "nda.md").write_text(NDA.replace("by hand", "by post"))
     (lib.folder / "lease.txt").write_text("LEASE AGREEMENT\n\n1. Rent\n\nThe tenant pays the rent on the first day of each month.\n")
-    assert lib.ingest("Packs") == {"new": 1, "changed": 1, "unchanged": 1, "removed": 0}
+    assert main(lib.ingest("Packs")) == {"new": 1, "changed": 1, "unchanged": 1, "removed": 0, "failed": 1}
     (lib.folder / "lease.txt").unlink()
-    assert lib.ingest("Packs") == {"new": 0, "changed": 0, "unchanged": 2, "removed": 1}
+    assert main(lib.ingest("Packs")) == {"new": 0, "changed": 0, "unchanged": 2, "removed": 1, "failed": 1}
     assert lib.table("documents").where("deleted").count() == 1
     assert lib.table("clauses").where(F.col("rel_path") == "lease.txt").count() == 0
     lib.detach("Packs")
