@@ -314,9 +314,7 @@ class Library:
         q = self.spark.createDataFrame([(0, query, E.embed_one(self.embedder, query))], "query_id long, query string, embedding array<float>")
         if isinstance(where.get("kind"), str):
             where["kind"] = search.kind_of(where["kind"])
-        words = [r.token for r in search.query_tokens(q).select("token").collect()]  # one query's words
-        post = self.table("postings", scope).where(F.col("token").isin(words))
-        hits = search.hybrid(q, post, self.table("sizes", scope), self.table("vectors", scope), clauses, docs, k, search.filters(**where) if where else None)
+        hits = self._hybrid(q, scope, k, search.filters(**where) if where else None)
         if expand:
             more = search.expand(hits, self.table("edges", scope), clauses, docs, k)
             hits = hits.withColumn("origin", F.lit("hit")).unionByName(more.withColumn("place", F.col("place") + k).withColumn("origin", F.lit("expanded")))
@@ -354,8 +352,10 @@ class Library:
         skip = {x.lower() for x in spec.exclude_clause_types}
         wanted = [t for t in [*A.required(spec.contract_type), *spec.include_clause_types] if t.lower() not in present | skip]
         filled, missing, extra = [], [], []
-        for t in dict.fromkeys(wanted):
-            hit = self._gap(t, spec, scope)
+        wanted = list(dict.fromkeys(wanted))
+        gaps = self._gaps(wanted, spec, scope)
+        for t in wanted:
+            hit = gaps.get(t)
             (missing if hit is None else filled).append(t)
             if hit is not None:
                 extra.append((t, hit))
@@ -385,13 +385,28 @@ class Library:
         lines = [r.b for r in A.recitals(own).orderBy("seq", "clause_id").select(A.substitute(F.col("body"), variables).alias("b")).collect()] or [A.synthetic_recital(spec)]
         return Draft(spec, best.asDict(), A.definitions_used(rows, defs), defs, sched, lines, missing, filled, notes, numbers)
 
-    def _gap(self, clause_type: str, spec: A.Spec, scope: list[str]):
-        """The best clause of a type: of the wanted contract type first, then of any."""
-        for kind in (spec.contract_type, None):
-            hit = self.search(clause_type, 6, scope, exclude_kinds=search.OPERATIVE, approved_only=spec.approved_only, clause_type=clause_type, contract_type=kind).orderBy("place").first()
-            if hit is not None:
-                return hit
-        return None
+    def _gaps(self, types: list[str], spec: A.Spec, scope: list[str]) -> dict[str, object]:
+        """The best clause of each type: of the wanted contract type first, then of any. One search for all of them."""
+        if not types:
+            return {}
+        n = len(types)
+        rows = [(i, types[i % n], E.embed_one(self.embedder, types[i % n])) for i in range(2 * n)]  # first with the contract type, then without
+        q = self.spark.createDataFrame(rows, "query_id int, query string, embedding array<float>")
+        wanted = F.create_map(*[F.lit(x) for i in range(2 * n) for x in (i, types[i % n].lower())])
+        where = search.filters(exclude_kinds=search.OPERATIVE, approved_only=spec.approved_only)
+        where = where & F.coalesce(F.lower("clause_type") == wanted[F.col("query_id")], F.lit(False))
+        where = where & ((F.col("query_id") >= n) | F.coalesce(F.lower("contract_type") == spec.contract_type.lower(), F.lit(False)))
+        hits = self._hybrid(q, scope, 6, where).where("place = 1").orderBy("query_id").collect()  # at most two a type
+        found: dict[str, object] = {}
+        for h in hits:
+            found.setdefault(types[h.query_id % n], h)
+        return found
+
+    def _hybrid(self, queries: DataFrame, scope: list[str], k: int, where=None) -> DataFrame:
+        """Ranked hits of a few queries over the stored index; only postings of their words are read."""
+        words = [r.token for r in search.query_tokens(queries).select("token").distinct().collect()]
+        post = self.table("postings", scope).where(F.col("token").isin(words))
+        return search.hybrid(queries, post, self.table("sizes", scope), self.table("vectors", scope), self.table("clauses", scope), self.table("documents", scope), k, where)
 
     def validate(self, draft: Draft) -> DataFrame:
         """Findings (doc_id, severity, code, location, detail) of a draft."""

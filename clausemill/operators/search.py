@@ -159,7 +159,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int, key: str = "claus
             ids, rows = sets.setdefault(len(x), ([], []))
             ids.append(i)
             rows.append(x)
-        shared = spark.sparkContext.broadcast({d: (pa.array(ids), np.array(rows, dtype=np.float64)) for d, (ids, rows) in sets.items()})
+        of_ids = t.column(0).type
+        shared = spark.sparkContext.broadcast({d: (pa.array(ids, type=of_ids), np.array(rows, dtype=np.float64)) for d, (ids, rows) in sets.items()})
 
         def run(batches, shared=shared):
             names = ["query_id", "source", key, "distance"]
