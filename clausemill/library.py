@@ -75,7 +75,7 @@ class Draft:
         front = spark.createDataFrame(list(enumerate(self.recitals)), "n long, t string").select(F.lit(2).alias("part"), "n", "t")
         texts = self.clauses.select(F.lit(0).alias("part"), F.col("pos").cast("long").alias("n"), F.col("new_body").alias("t"))
         texts = texts.unionByName(self.definitions.select(F.lit(1).alias("part"), F.col("seq").cast("long").alias("n"), F.col("body").alias("t"))).unionByName(front)
-        return distinct_variables(texts.unionByName(self.schedules.select(F.lit(3).alias("part"), F.col("schedule_no").cast("long").alias("n"), F.col("body").alias("t"))), [], ["part", "n"])
+        return A.distinct_variables(texts.unionByName(self.schedules.select(F.lit(3).alias("part"), F.col("schedule_no").cast("long").alias("n"), F.col("body").alias("t"))), [], ["part", "n"])
 
     def to_json(self) -> str:
         """The draft as JSON: one document, so it may come to the driver."""
@@ -101,14 +101,6 @@ def with_columns(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in want))
 
 
-def distinct_variables(texts: DataFrame, keys: list[str], order: list[str], text: str = "t") -> DataFrame:
-    """(``keys``, name, label, filled): each placeholder of the texts once, with the label of its first place in ``order``."""
-    each = texts.select(*keys, *order, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\{\{([A-Za-z0-9_]+(?:\|[^}]*)?)\}\}"), F.lit(1))).alias("place", "x"))
-    each = each.withColumn("name", F.split_part("x", F.lit("|"), F.lit(1))).withColumn("label", F.when(F.col("x").contains("|"), F.split("x", r"\|", 2)[1]).otherwise(F.col("name")))
-    first = F.min_by("label", F.struct(*order, "place"))
-    return each.groupBy(*keys, "name").agg(first.alias("label")).withColumn("filled", F.lit(False))
-
-
 class Library:
     def __init__(self, spark: SparkSession, root: str, embedder: E.Embedder | None = None):
         self.spark, self.root = spark, root.rstrip("/")

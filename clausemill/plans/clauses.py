@@ -42,12 +42,18 @@ select clause_id, doc_id, cast(line_no as int) as line_no, {TRIM('term')} as ter
 
 
 def edges_uses_term(spark, d):
-    return index.uses_term(live(spark, d, "doc_id", "kind", "term", "body"))
+    """Edges over bodies that also name their document's first term (no body of the tables names one as it stands)."""
+    c = live(spark, d, "doc_id", "kind", "term", "body")
+    first = c.where("kind = 'definition'").groupBy("doc_id").agg(F.min("term").alias("named"))
+    said = c.join(first, "doc_id", "left").withColumn("body", F.concat_ws(" the ", "body", "named"))
+    return index.uses_term(said.drop("named"))
 
 
 EDGES = f"""
-with {LIVE} select distinct b.clause_id as src_clause, 'uses_term' as relation, t.clause_id as dst_clause
-from live b join live t on b.doc_id = t.doc_id and b.kind <> 'definition' and t.kind = 'definition' and octet_length(encode(t.term)) >= 3 and contains(b.body, t.term) and b.clause_id <> t.clause_id
+with {LIVE}, f as (select doc_id, min(term) as named from live where kind = 'definition' group by 1),
+said as (select l.* replace (concat_ws(' the ', body, named) as body) from live l left join f using (doc_id))
+select distinct b.clause_id as src_clause, 'uses_term' as relation, t.clause_id as dst_clause
+from said b join live t on b.doc_id = t.doc_id and b.kind <> 'definition' and t.kind = 'definition' and octet_length(encode(t.term)) >= 3 and contains(b.body, t.term) and b.clause_id <> t.clause_id
 """
 
 
@@ -161,6 +167,22 @@ def unresolved_variables(spark, d):
     return t.select("clause_id", F.array_join(placeholders(F.col("t")), "|").alias("names"))
 
 
+def distinct_variables(spark, d):
+    """The placeholders of each document's bodies, once each, with the label of the first place."""
+    c = live(spark, d, "doc_id", "seq", "number", "body")
+    t = c.select("doc_id", "seq", "clause_id", F.concat(F.coalesce("body", F.lit("")), F.lit(" {{amount|Sum of "), F.coalesce("number", F.lit("-")), F.lit("}} for {{client}} or {{v"), F.col("seq").cast("string"), F.lit("}}")).alias("t"))
+    return assemble.distinct_variables(t, ["doc_id"], ["seq", "clause_id"])
+
+
+VARIABLES = rf"""
+with {LIVE}, t as (select doc_id, seq, clause_id, coalesce(body, '') || ' {{{{amount|Sum of ' || coalesce(number, '-') || '}}}} for {{{{client}}}} or {{{{v' || seq || '}}}}' as t from live),
+e as (select doc_id, seq, clause_id, regexp_extract_all(t, '\{{\{{([A-Za-z0-9_]+(?:\|[^}}]*)?)\}}\}}', 1) as xs from t),
+u as (select doc_id, seq, clause_id, unnest(list_zip(range(len(xs)), xs)) as p from e),
+n as (select doc_id, seq, clause_id, p[1] as place, string_split(p[2], '|')[1] as name, case when contains(p[2], '|') then p[2][position('|' in p[2]) + 1:] else p[2] end as label from u)
+select doc_id, name, arg_min(label, (seq, clause_id, place)) as label, false as filled from n group by 1, 2
+"""
+
+
 _TPL = "t as (select clause_id, source, coalesce(body, '') || ' {{source}} and {{ ' || coalesce(number, '') || ' | Label}} of {{nobody}}' as t from live)"
 SUBST = f"with {LIVE}, {_TPL} select clause_id, replace(t, '{{{{source}}}}', source) as text from t"
 UNRES = rf"with {LIVE}, {_TPL} select clause_id, coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(t, '(?s)\{{\{{(.*?)\}}\}}', 1), lambda x: {TRIM("string_split(x, '|')[1]")}), lambda x: x <> ''), '|'), '') as names from t"
@@ -274,7 +296,8 @@ def docx_render(spark, d):
 def validation_findings(spark, d):
     """Findings of all codes over every document, as if each were a draft with its own clauses."""
     c = _once(spark, d)
-    rows = numbered(c)
+    # Numbered clauses ask for a variable too, that no text of the tables has.
+    rows = numbered(c.withColumn("body", F.when(F.col("kind") == "clause", F.concat_ws(" ", "body", F.concat(F.lit("{{ v"), "number", F.lit(" | L}}")))).otherwise(F.col("body"))))
     docs = read(spark, d, "documents").select("doc_id", "title", "source")
     defs = c.where("kind = 'definition'").select("doc_id", "term")
     used, unused = validate.terms(c.where(~F.col("kind").isin(*OPERATIVE)), defs)
@@ -288,7 +311,7 @@ def validation_findings(spark, d):
 
 _LOC = lambda n: f"case when {TRIM(chr(99) + 'oalesce(heading, ' + chr(39) * 2 + ')')} = '' then 'clause ' || {n} else 'clause ' || {n} || ' (' || heading || ')' end"
 FINDINGS = rf"""
-with {NUMBERED},
+with {NUMBERED.replace('numbered as (', 'plain as (', 1)}, numbered as (select * replace (case when kind = 'clause' then concat_ws(' ', body, '{{{{ v' || number || ' | L}}}}') else body end as body) from plain),
 u as (select distinct n.doc_id, t.term from numbered n join live t on t.doc_id = n.doc_id and t.kind = 'definition' and octet_length(encode(t.term)) >= 3 and contains(coalesce(n.body, ''), t.term)),
 lf as (select *, coalesce(lead(eff) over (partition by doc_id order by pos) <= eff, true) as leaf from numbered)
 select doc_id, 'error' as severity, 'no-parties' as code, 'document' as location, 'the document has no parties' as detail from documents where title is null
@@ -296,6 +319,7 @@ union all select doc_id, 'error', 'no-clauses', 'document', 'the document has no
 union all select doc_id, 'error', 'no-execution', 'document', 'the document has no execution' from documents where doc_id not in (select doc_id from live where kind = 'execution')
 union all select doc_id, 'error', 'numbering', {_LOC("coalesce(number, '?')")}, 'expected ' || new_number from numbered where number is null or number <> new_number
 union all select doc_id, 'error', 'empty-clause', {_LOC('new_number')}, 'clause body is empty' from lf where leaf and {TRIM("coalesce(body, '')")} = ''
+union all select doc_id, 'error', 'unresolved-variable', {_LOC('new_number')}, unnest(list_filter(list_transform(regexp_extract_all(coalesce(body, ''), '(?s)\{{\{{(.*?)\}}\}}', 1), lambda x: {TRIM("string_split(x, '|')[1]")}), lambda x: x <> '')) from numbered
 union all select n.doc_id, 'error', 'dangling-cross-reference', {_LOC('new_number')}, ref from (select *, unnest(list_distinct(regexp_extract_all(coalesce(body, ''), '(?i)(clauses?\s+)(\d+(?:\.\d+)*)', 2))) as ref from numbered) n where not exists (select 1 from numbered m where m.doc_id = n.doc_id and m.new_number = n.ref)
 union all select doc_id, 'warning', 'unused-definition', 'definition "' || term || '"', 'is defined but never used' from (select distinct doc_id, term from live where kind = 'definition' and term is not null) t where not exists (select 1 from u where u.doc_id = t.doc_id and u.term = t.term)
 """
@@ -328,10 +352,10 @@ h as (select token, list_reduce(list_prepend(cast('14695981039346656037' as huge
 select token, cast(h as varchar) as hash, cast(h % 256 as int) as bucket, cast((h // 4294967296) % 2 as int) as negative from h
 """
 
-QUERIES = {f.__name__: f for f in (clause_labels, definitions_harvest, edges_uses_term, edges_kept, document_objects, tree_numbers, cross_references, definitions_first_wins, schedules_folded, recitals, variable_substitution, unresolved_variables, terms_in_clauses, missing_required, checklist_order, skeleton_choice, excluded_roots, markdown_render, docx_render, validation_findings, finding_counts, foreign_parties, term_hashes)}
+QUERIES = {f.__name__: f for f in (clause_labels, definitions_harvest, edges_uses_term, edges_kept, document_objects, tree_numbers, cross_references, definitions_first_wins, schedules_folded, recitals, variable_substitution, unresolved_variables, distinct_variables, terms_in_clauses, missing_required, checklist_order, skeleton_choice, excluded_roots, markdown_render, docx_render, validation_findings, finding_counts, foreign_parties, term_hashes)}
 SQL = {
     "clause_labels": LABELS, "definitions_harvest": HARVEST, "edges_uses_term": EDGES, "edges_kept": KEPT, "document_objects": OBJECTS, "tree_numbers": TREE, "cross_references": REFS,
-    "definitions_first_wins": FIRST, "schedules_folded": SCHEDULES, "recitals": RECITALS, "variable_substitution": SUBST, "unresolved_variables": UNRES, "terms_in_clauses": TERMS,
+    "definitions_first_wins": FIRST, "schedules_folded": SCHEDULES, "recitals": RECITALS, "variable_substitution": SUBST, "unresolved_variables": UNRES, "distinct_variables": VARIABLES, "terms_in_clauses": TERMS,
     "missing_required": MISSING, "checklist_order": ORDER, "skeleton_choice": SKELETON, "excluded_roots": EXCLUDED, "markdown_render": MARKDOWN, "validation_findings": FINDINGS,
     "finding_counts": COUNTS, "term_hashes": HASHES,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausemill.functions import tables as T
-from clausemill.functions.text import WS, slug, snippet_chars
+from clausemill.functions.text import WS, default_file_name, slug, snippet_chars
 from clausemill.operators import assemble, index, label, paragraphs, registry, segment
 from clausemill.plans.sql import FAMILY, LABEL, NORM, SQUASH, TITLE, TRIM, family
 from clausemill.session import read
@@ -221,18 +221,26 @@ def document_cards(spark, d):
     """What a listing shows: name, slug and a snippet."""
     docs = read(spark, d, "documents")
     head = F.coalesce("title", F.substring_index(F.replace("rel_path", F.lit("\\"), F.lit("/")), "/", -1))
-    return docs.select("doc_id", head.alias("name"), slug(head, "document").alias("slug"), snippet_chars(F.coalesce("text", F.lit(""))).alias("snippet"))
+    return docs.select("doc_id", head.alias("name"), slug(head, "document").alias("slug"), snippet_chars(F.coalesce("text", F.lit(""))).alias("snippet"), default_file_name(head).alias("file_name"))
 
 
 CARDS = r"""
 with h as (select doc_id, coalesce(title, string_split(replace(rel_path, '\', '/'), '/')[-1]) as name, coalesce(text, '') as text from documents),
 s as (select *, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from h)
-select doc_id, name, case when slug = '' then 'document' else slug end as slug, case when length(text) <= 320 then text else text[1:320] || '…' end as snippet from s
+select doc_id, name, case when slug = '' then 'document' else slug end as slug, case when length(text) <= 320 then text else text[1:320] || '…' end as snippet,
+ case when regexp_replace(name, '^\s+|\s+$', '', 'g') = '' then 'draft' else regexp_replace(name, '[^A-Za-z0-9_.-]+', '_', 'g') end as file_name from s
 """
 
-QUERIES = {f.__name__: f for f in (paragraphs_from_text, html_paragraphs, segment_nodes, document_titles, contract_types, scan_diff, scan_counters, source_stats, document_list, contract_type_menu, donor_mode, index_upsert, attached_sources, settings_upsert, audit_events, document_cards)}
+def provenance_files(spark, d):
+    """Where each document's file lies, by its source's folder."""
+    return registry.provenance(read(spark, d, "documents"), read(spark, d, "sources"))
+
+
+PROVENANCE = r"select doc_id, d.source, regexp_replace(s.folder, '/+$', '') || '/' || replace(rel_path, chr(92), '/') as file from documents d join sources s on s.name = d.source"
+
+QUERIES = {f.__name__: f for f in (paragraphs_from_text, html_paragraphs, segment_nodes, document_titles, contract_types, scan_diff, scan_counters, source_stats, document_list, contract_type_menu, donor_mode, index_upsert, attached_sources, settings_upsert, audit_events, document_cards, provenance_files)}
 SQL = {
     "paragraphs_from_text": LINES, "html_paragraphs": HTML, "segment_nodes": SEGMENT, "document_titles": TITLES, "contract_types": TYPES, "scan_diff": SCAN,
     "scan_counters": f"select outcome, count(*) as files from ({SCAN}) group by 1", "source_stats": STATS, "document_list": DOCLIST, "contract_type_menu": MENU, "donor_mode": DONOR,
-    "index_upsert": UPSERT, "attached_sources": SOURCES, "settings_upsert": SETTINGS, "audit_events": AUDIT, "document_cards": CARDS,
+    "index_upsert": UPSERT, "attached_sources": SOURCES, "settings_upsert": SETTINGS, "audit_events": AUDIT, "document_cards": CARDS, "provenance_files": PROVENANCE,
 }
