@@ -36,7 +36,7 @@ CLOSERS = (
 )
 #: Lines that may be whole or cut; the source's limits decide.
 EITHER = (r"\A(?:\([a-z0-9]{1,3}\)|[-*•–]|\d+[.)]|[a-z]\))\s+\S", r"_{3,}\z", r"(?i)\Acc:\s*\S")
-BLANK_END = rf"(?:{WS}|[\p{{Cc}}\x{{200B}}\x{{FEFF}}])+\z"
+BLANK_END = WS[:-1] + r"\p{Cc}\x{200B}\x{FEFF}]+\z"  # one class: an alternation costs far more on every blank
 #: A word on a line of its own below a name, as under a signature.
 ROLE, SIGNED = r"\A\p{Lu}\p{Ll}+\z", r"\A\p{Lu}[^.,;:]{2,60}\z"
 
